@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cairn.llm.chat import chat_digest
 from cairn.llm.ngram_join import ngram_jaccard_join
+from cairn.llm.quality_rules import quality_verdicts
 from cairn.llm.secrets import secret_digest
 
 
@@ -12,18 +15,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_jaccard_join(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_digest(_table(spark, sf_dir, "documents"))
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    return chat_digest(_table(spark, sf_dir, "conversations").select(*extra.columns).unionByName(extra))
 
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {}
