@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.chat import chat_digest
+from cairn.llm.mixing import mixed_documents
 from cairn.llm.ngram_join import ngram_jaccard_join
+from cairn.llm.packing import pack
 from cairn.llm.quality_rules import quality_verdicts
 from cairn.llm.secrets import secret_digest
 
@@ -19,6 +21,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_jaccard_join(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
@@ -28,6 +34,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit("\\### Assistant: </turn> ok")
     extra = spark.range(2).select(
@@ -38,8 +49,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op3_source_mixing": op3_source_mixing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
+    "op9_packing": op9_packing,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
