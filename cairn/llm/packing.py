@@ -13,11 +13,14 @@ Ids are written once, with each piece's rank within its task; nothing shuffles t
 from __future__ import annotations
 
 import os
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -27,46 +30,91 @@ from cairn.functions.bounded import broadcast_if_small
 from cairn.functions.lineage import stash
 
 CAPACITY, END_ID = 4096, 2
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 #: White space to Python that is none to the tokenizer.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+_ODD = "[\x1c-\x1f]"
 
 
-class _Words(dict):
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level pre-tokenization puts for each byte: itself where it
+    prints, else the next free one from 256 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class Words:
     """Ids of white-space separated words as bytes, little-endian unsigned 32 bits.
 
     The tokenizer drops white space and never joins or compares across it, so a text's
-    ids are its words' ids in order.
+    ids are its words' ids in order.  Words of letters, with or without a full stop or
+    comma, go straight to the tokenizer's model; any other word goes through all of it.
+    Of two generations of words the older is forgotten when the younger is full, so
+    that frequent words stay.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode(self, word: str) -> bytes:
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word)
+        low = word.lower()
+        stem, tail = (low[:-1], low[-1]) if low[-1:] in (".", ",") else (low, "")
+        if not stem.isalpha() or "\u03a3" in word:  # capital sigma: lower case by context or not
+            return self.whole(word)
+        if not stem.isascii():
+            stem = stem.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model(stem)])
+        if tail:
+            ids.extend([t.id for t in self.model(tail)])
+        return ids.tobytes()
+
+    def __getitem__(self, word: str) -> bytes:
+        ids = self.young.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                ids = self._encode(word)
+            if len(self.young) >= CACHE_WORDS:
+                self.old, self.young = self.young, {}
+            if len(word) <= 64:
+                self.young[word] = ids
         return ids
 
-    def of(self, text: str) -> bytes:
-        if any(c in text for c in _ODD):
-            return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+    def of(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (no nulls); each different word is looked up once."""
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        split = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        coded = split.flatten().dictionary_encode()
+        known = [self[w] for w in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        codes = coded.indices.to_numpy()
+        each = size[codes]
+        ends = np.r_[0, np.cumsum(each)]
+        ids = pool[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        cut = (4 * ends[split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
+        return [self.whole(texts[k].as_py()) if odd[k] else ids[cut[k] : cut[k + 1]] for k in range(len(texts))]
 
 
 @lru_cache(maxsize=2)
-def _words(path: str | None) -> _Words:
+def _words(path: str | None) -> Words:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return _Words(path)
+    return Words(path)
 
 
 _PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary, task int, nth long"
@@ -75,6 +123,18 @@ _PIECES_PA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length"
 _BATCH_BYTES = 16 << 20
 
 
+def _each(batch: pa.RecordBatch, words: Words, most: int = 8 << 20) -> Iterator[tuple[int | None, bytes]]:
+    """(doc_id, ids) of a batch, some texts at a time."""
+    texts = batch.column(1).fill_null("")
+    size = np.cumsum(pc.binary_length(texts).to_numpy())
+    start = 0
+    while start < len(texts):
+        before = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + most)))
+        yield from zip(batch.column(0)[start:end].to_pylist(), words.of(texts[start:end]))
+        start = end
+
+
 def _tokenize(path: str | None, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
@@ -84,8 +144,8 @@ def _tokenize(path: str | None, capacity: int, end_id: int):
         out: list[list] = [[] for _ in _PIECES_PA]
         size = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.of(text.as_py() or "") + end
+            for doc, ids in _each(batch, words):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     length = min(capacity, n - start)

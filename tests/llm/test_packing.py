@@ -42,7 +42,7 @@ def test_runs_are_best_fit_decreasing():
             assert sorted(len(c) for c in used.values()) == plain_best_fit(lengths, capacity)
 
 
-TEXTS = [None, "", " \n", "Hello, world's end 123", "<|endoftext|> x<|startoftext|>y", "a\x1cb !\x1d! c", "É́ é ﬁ ΑΣ İ x y",
+TEXTS = [None, "", " \n", "Hello, world's end 123", "<|endoftext|> x<|startoftext|>y", "a\x1cb !\x1d! c", "\x02 a\x02b \x02\x02", " lead  trail ", "ΣΑΣ. Straße, e\u0301t\u0301 İı ŉ ﬁn. ªº ǅ ʰ 中文, й.", "Ünï,cödé.. ,. . , don't. it's, THE'LL x\u00ad\u200b\u2028y\u3000z", "É́ é ﬁ ΑΣ İ x y",
          "word " * 30_000, "x" * 5000, "same text", "same text"]
 
 
