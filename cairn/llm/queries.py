@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.ann import nearest
 from cairn.llm.chat import chat_digest
 from cairn.llm.mixing import mixed_documents
 from cairn.llm.ngram_join import ngram_jaccard_join
 from cairn.llm.packing import pack
+from cairn.llm.pii import pii_digest
 from cairn.llm.quality_rules import quality_verdicts
 from cairn.llm.resampling import resample
 from cairn.llm.secrets import secret_digest
@@ -23,6 +25,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_documents(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +38,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_spans(_table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -60,8 +70,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_source_mixing": op3_source_mixing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_pii": op5_pii,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
