@@ -154,7 +154,7 @@ def _model(app: str) -> tuple[Forest, tuple[float, ...], dict[str, tuple[float,
     cuts, told = [], {}
     for k, (name, _) in enumerate(GENERATORS):
         mine = (half == 1) & (x[:, 0] == k)
-        cuts.append(threshold(score[mine], y[mine], PRECISION))
+        cuts.append(max(0.0, threshold(score[mine], y[mine], PRECISION)))  # more likely than not, at least
         picked = mine & (score >= cuts[-1])
         told[name] = (float(y[picked].mean()) if picked.any() else 1.0, float(y[picked].sum() / max(1.0, y[mine].sum())))
     return forest, tuple(cuts), told
