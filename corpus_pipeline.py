@@ -1,20 +1,52 @@
-"""A training-data pipeline over ``documents`` from the corpus operators."""
+"""A training-data pipeline over ``documents`` from the corpus operators.
+
+Every stage takes all that its predecessor kept; all but the last return the columns
+of ``documents``.  No part of it is SQL: model fitting and tokenization are not.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.functions.lineage import stash
+from cairn.llm.mixing import Mix, mix_sources
 from cairn.llm.ngram_join import keep_one
+from cairn.llm.packing import pack
+from cairn.llm.resampling import keep_sampled
+from cairn.llm.secrets import redact_secrets
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling rejects go."""
+    return keep_sampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group linked by 5-word Jaccard >= 0.75 stays."""
     return keep_one(docs)
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return redact_secrets(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights, within one epoch: no document is repeated."""
+    return mix_sources(docs, Mix(epochs=1))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids with their window and offset."""
+    return pack(docs)
+
+
 STAGES = [
+    ("quality classifier", quality),
     ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mixture),
+    ("packing", packed),
 ]
 
 ORACLE_SQL = None
