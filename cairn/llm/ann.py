@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from cairn.functions.lineage import stash
 
 SHARD, BLOCK = 4096, 1024
-PROJECTIONS, SEED = 64, 17
+PROJECTIONS, SEED = 32, 17
 #: First radius and its growth; half window in radii; share of windows that verifies.
 RADIUS, GROWTH, HALF, SHARE = 0.3, 1.25, 1.0, 0.56
+#: Keeps the projections apart in one flat sorted array (they are sums of few terms).
+_APART = 1e4
 
 
 class Index:
@@ -36,41 +38,60 @@ class Index:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
         self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
+        self.unit = self.vectors / self.norms[:, None]
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
-        at = (self.vectors / self.norms[:, None]) @ self.axes
-        self.order = np.argsort(at, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(at.T, self.order, axis=1)
+        at = (self.unit @ self.axes).T
+        self.order = np.argsort(at, axis=1, kind="stable")
+        self.shift = _APART * np.arange(PROJECTIONS)
+        self.flat = (np.take_along_axis(at, self.order, axis=1) + self.shift[:, None]).ravel()
+
+    def _places(self, centres: np.ndarray, side: str) -> np.ndarray:
+        base = len(self.ids) * np.arange(PROJECTIONS)
+        return np.searchsorted(self.flat, (centres + self.shift).ravel(), side).reshape(centres.shape) - base
 
     def cosine(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         return (self.vectors[rows] * query).sum(1) / (self.norms[rows] * np.sqrt((query * query).sum()))
 
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the k nearest found, nearest first, ties to smaller ids."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, ids and cosines of the k nearest found, nearest first, ties to smaller ids."""
+        unit = queries / np.sqrt((queries * queries).sum(1))[:, None]
+        centres = unit @ self.axes
+        radii = RADIUS * GROWTH ** np.arange(int(np.ceil(np.log(2 / RADIUS) / np.log(GROWTH))))
+        lows = np.stack([self._places(centres - HALF * r, "left") for r in radii])
+        highs = np.stack([self._places(centres + HALF * r, "right") for r in radii])
+        out, ended = [], np.zeros(len(radii) + 1, np.int64)
+        for q, (own, query) in enumerate(zip(query_ids, queries)):
+            # begin a level below where half of the queries so far have ended: a wide first
+            # window verifies more, never less
+            begin = max(0, int(np.searchsorted(np.cumsum(ended), ended.sum() / 2)) - 1) if q else 0
+            rows, scores, level = self._one(own, query, unit[q], lows[:, q], highs[:, q], radii, begin, k)
+            ended[level] += 1
+            # products of matrices round by position: the last word is the exact cosine
+            near = rows[scores >= np.partition(scores, -k)[-k] - 1e-9] if len(rows) > k else rows
+            exact = self.cosine(near, query)
+            best = np.lexsort((self.ids[near], -exact))[:k]
+            out.append((self.ids[near[best]], exact[best]))
+        return out
+
+    def _one(self, own: int, query: np.ndarray, unit: np.ndarray, lows: np.ndarray, highs: np.ndarray, radii: np.ndarray, begin: int, k: int):
         n = len(self.ids)
-        centre = (query / np.sqrt((query * query).sum())) @ self.axes
-        low = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre)])
-        high, count = low.copy(), np.zeros(n, np.int64)
-        state = np.where(self.ids == query_id, 2, 0)  # 1: verified, 2: not a candidate
+        free = self.ids != own  # neither verified nor the query's own
+        count = np.zeros(n, np.int64)
         rows, scores = np.empty(0, np.int64), np.empty(0)
-        radius = RADIUS
-        while True:
-            last = radius >= 2
-            if last:
-                new = np.flatnonzero(state == 0)
+        for level in range(begin, len(radii)):
+            low, high = lows[level], highs[level]
+            if level == begin:
+                fresh = [o[a:b] for o, a, b in zip(self.order, low, high)]
             else:
-                wider_low = [np.searchsorted(s, c - HALF * radius) for s, c in zip(self.sorted, centre)]
-                wider_high = [np.searchsorted(s, c + HALF * radius, "right") for s, c in zip(self.sorted, centre)]
-                fresh = [o[a:b] for o, a, b in zip(self.order, wider_low, low)] + [o[a:b] for o, a, b in zip(self.order, high, wider_high)]
-                count += np.bincount(np.concatenate(fresh), minlength=n)
-                low, high = wider_low, wider_high
-                new = np.flatnonzero((count > SHARE * PROJECTIONS) & (state == 0))
-            state[new] = 1
-            rows, scores = np.r_[rows, new], np.r_[scores, self.cosine(new, query)]
-            within = scores >= 1 - radius * radius / 2
-            if last or within.sum() >= k:
-                best = np.lexsort((self.ids[rows], -scores))[:k]
-                return self.ids[rows[best]], scores[best]
-            radius *= GROWTH
+                fresh = [o[a:b] for o, a, b in zip(self.order, low, lows[level - 1])] + [o[a:b] for o, a, b in zip(self.order, highs[level - 1], high)]
+            count += np.bincount(np.concatenate(fresh), minlength=n)
+            new = np.flatnonzero((count > SHARE * PROJECTIONS) & free)
+            free[new] = False
+            rows, scores = np.r_[rows, new], np.r_[scores, self.unit[new] @ unit]
+            if (scores >= 1 - radii[level] ** 2 / 2).sum() >= k:
+                return rows, scores, level
+        new = np.flatnonzero(free)
+        return np.r_[rows, new], np.r_[scores, self.unit[new] @ unit], len(radii)
 
 
 _FOUND = "query_id long, vec_id long, score double"
@@ -82,11 +103,11 @@ def _tile(k: int):
         if not len(data) or not len(queries):
             return none
         index = Index(data.id.to_numpy(np.int64), np.stack(data.vector.to_numpy()).astype(np.float64))
-        parts = [none]
-        for q, vector in zip(queries.id, queries.vector):
-            ids, scores = index.search(q, np.asarray(vector, np.float64), k)
-            parts.append(pd.DataFrame({"query_id": np.full(len(ids), q, np.int64), "vec_id": ids, "score": scores}))
-        return pd.concat(parts, ignore_index=True)
+        asked = queries.id.to_numpy(np.int64)
+        found = index.search(asked, np.stack(queries.vector.to_numpy()).astype(np.float64), k)
+        return pd.DataFrame({
+            "query_id": np.repeat(asked, [len(ids) for ids, _ in found]), "vec_id": np.concatenate([ids for ids, _ in found]),
+            "score": np.concatenate([scores for _, scores in found])})
 
     return run
 
