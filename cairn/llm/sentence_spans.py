@@ -126,7 +126,8 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     found = stash(rows.select("doc_id", "text_key", "text").mapInArrow(_find(least, words), _FOUND))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "first")
-    first = found.groupBy("hash").agg(F.min(place).alias("of"), F.max(place).alias("to")).where("of != to").select("hash", "of")
+    # written, so that the join below has a plain shuffle on either side and AQE can split it
+    first = stash(found.groupBy("hash").agg(F.min(place).alias("of"), F.max(place).alias("to")).where("of != to").select("hash", "of"))
     again = found.join(first, "hash").where(place != F.col("of"))
     covered = again.groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("first", "last")).alias("covered"), F.collect_set("of.doc_id").alias("sources"))
