@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions.geometry import canonical_sign, dot
 from cairn.operators.neighbours import POINT_KEY, hybrid_neighbours, nearest_neighbours
@@ -21,7 +22,10 @@ def covariances(x: str = "x", y: str = "y", z: str = "z") -> list[Column]:
     return [F.covar_pop(by[a[0]], by[a[1]]).alias(a) for a in AXES]
 
 
-@F.pandas_udf("values array<double>, vectors array<double>")
+_EIGEN = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("vectors", T.ArrayType(T.DoubleType()))])
+
+
+@F.pandas_udf(_EIGEN)
 def eigen(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     """Eigenvalues, ascending, and unit eigenvectors, one after the other, of symmetric matrices."""
     for xx, xy, xz, yy, yz, zz in parts:

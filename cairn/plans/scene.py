@@ -18,6 +18,7 @@ from cairn.operators.ransac import extract_planes
 from cairn.operators.stats import normalize_floor, scene_height, scene_stats
 from cairn.operators.summaries import with_boxes
 from cairn.operators.voxel import voxel_downsample
+from cairn.schemas import points as as_points
 from cairn.schemas import require_valid
 from cairn.sinks import writers
 from cairn.sources.load import load_cloud
@@ -50,7 +51,7 @@ def segment(points: DataFrame, config: PipelineConfig | None = None, normals: bo
     The statistics are those of the points as they come; a scene's height is that of its
     cleaned points.
     """
-    config = config or PipelineConfig()
+    config, points = config or PipelineConfig(), as_points(points)
     seconds, began = {}, time.monotonic()
 
     def done(stage: str) -> None:
