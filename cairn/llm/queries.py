@@ -9,6 +9,7 @@ from cairn.llm.ann import nearest
 from cairn.llm.chat import chat_digest
 from cairn.llm.mixing import mixed_documents
 from cairn.llm.ngram_join import ngram_jaccard_join
+from cairn.llm.oracle import ORACLE_SQL  # noqa: F401
 from cairn.llm.packing import pack
 from cairn.llm.pii import pii_digest
 from cairn.llm.quality_rules import quality_verdicts
@@ -80,5 +81,3 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_chat_formatting": op10_chat_formatting,
 }
-
-ORACLE_SQL: dict[str, str] = {}
