@@ -17,49 +17,47 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.lineage import stash
 from cairn.functions.ranks import kth_largest
-from cairn.llm.shingles import mix
+from cairn.llm.shingles import coded_words, mix, slices
 
 #: Hash buckets; most labelled rows used for the target and for holding out, each.
 BUCKETS, MOST_LABELLED = 8192, 20_000
 MISS, SEED = 0.0005, 11
-CACHE_WORDS = 500_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
-class _Tokens(dict):
-    """Token hashes of a white-space separated word."""
+def ngram_buckets(texts: pa.Array, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """For each whole text, the bucket of every unigram and bigram.
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = tuple(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in _TOKEN.findall(word.lower()))
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_TOKENS = _Tokens()
-
-
-def ngram_buckets(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
-    """Bucket of every unigram and bigram of a whole text."""
-    h = np.fromiter(chain.from_iterable(map(_TOKENS.__getitem__, (text or "").split())), np.uint64)
-    pairs = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-    return (np.concatenate([mix(h), pairs]) % np.uint64(buckets)).astype(np.int64)
+    A slice's different words are taken apart into tokens once; a text's tokens are
+    those of its words, in order.
+    """
+    for part in slices(texts):
+        words, codes, offsets = coded_words(pc.utf8_split_whitespace(pc.utf8_lower(part)))
+        tokens = [[xxhash.xxh3_64_intdigest(t) for t in map(str.encode, _TOKEN.findall(w.decode()))] for w in words]
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        pool, first = np.fromiter(chain.from_iterable(tokens), np.uint64, int(size.sum())), np.cumsum(size) - size
+        each = size[codes]
+        ends = np.r_[0, np.cumsum(each)]
+        h = pool[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])]
+        single, pairs = mix(h) % np.uint64(buckets), mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) % np.uint64(buckets)
+        cut = ends[offsets].tolist()
+        for a, b in zip(cut[:-1], cut[1:]):
+            yield np.concatenate([single[a:b], pairs[a : max(a, b - 1)]]).astype(np.int64)
 
 
 def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1).to_pylist()):
-                n = np.bincount(ngram_buckets(text.as_py(), buckets), minlength=buckets)
+            for grams, good in zip(ngram_buckets(batch.column(0), buckets), batch.column(1).to_pylist()):
+                n = np.bincount(grams, minlength=buckets)
                 raw += n
                 if good:
                     target += n
@@ -85,7 +83,7 @@ def gumbel(seed: int, key: int) -> float:
 def _weigh(ratio: np.ndarray, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = [float(ratio[ngram_buckets(t.as_py(), len(ratio))].sum()) for t in batch.column(2)]
+            w = [float(ratio[grams].sum()) for grams in ngram_buckets(batch.column(2), len(ratio))]
             g = [x + gumbel(seed, k) for x, k in zip(w, batch.column(1).to_pylist())]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(w, pa.float64()), pa.array(g, pa.float64())],
                                   names=["doc_id", "row_key", "log_weight", "draw"])

@@ -4,16 +4,20 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cairn.functions.ranks import kth_largest
 from cairn.llm import resampling as r
 
 
-def test_ngrams_of_whole_text():
-    assert len(r.ngram_buckets("one two, three")) == 4 + 3
-    assert len(r.ngram_buckets(None)) == len(r.ngram_buckets(" \n")) == 0
-    assert len(r.ngram_buckets("w " * 50_000)) == 99_999
+def buckets(*texts):
+    return [b.tolist() for b in r.ngram_buckets(pa.array(texts, pa.string()))]
+
+
+def test_ngrams_of_whole_texts():
+    assert [len(b) for b in buckets("one two, three", None, " \n", "w " * 50_000, "", "x")] == [4 + 3, 0, 0, 99_999, 0, 1]
+    assert buckets("a b", "b c")[1] == buckets("b c")[0] and buckets(" One\u3000two ") == buckets("one two")
 
 
 def corpus(n=400):
@@ -38,7 +42,7 @@ def test_weights_and_top_k(spark):
     assert min(x.draw for x in kept) > max(x.draw for x in rows if not x.kept)
     raw = np.zeros(r.BUCKETS)
     for _, t in docs:
-        np.add.at(raw, r.ngram_buckets(t), 1)
+        np.add.at(raw, buckets(t)[0], 1)
     assert all(math.isfinite(x.log_weight) for x in rows) and raw.sum() > 0
 
 
