@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from cairn.functions.bounded import broadcast_if_small
 from cairn.functions.lineage import stash
+from cairn.llm.shingles import slices
 
 CAPACITY, END_ID = 4096, 2
-CACHE_WORDS = 500_000
+CACHE_WORDS, SLICE_BYTES = 250_000, 8 << 20
 #: White space to Python that is none to the tokenizer.
 _ODD = "[\x1c-\x1f]"
 
@@ -63,6 +64,9 @@ class Words:
         self.model = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -98,13 +102,15 @@ class Words:
         split = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
         coded = split.flatten().dictionary_encode()
         known = [self[w] for w in coded.dictionary.to_pylist()]
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        pool, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        pool, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size, dtype=np.int32) - size
         codes = coded.indices.to_numpy()
         each = size[codes]
-        ends = np.r_[0, np.cumsum(each)]
-        ids = pool[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
-        cut = (4 * ends[split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
+        ends = np.concatenate(([0], np.cumsum(each, dtype=np.int32)), dtype=np.int32)  # a slice has far fewer than 2^31 ids
+        at = np.repeat(first[codes] - ends[:-1], each)
+        at += np.arange(ends[-1], dtype=np.int32)
+        ids = pool[at].tobytes()
+        cut = (4 * ends.astype(np.int64)[split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
         return [self.whole(texts[k].as_py()) if odd[k] else ids[cut[k] : cut[k + 1]] for k in range(len(texts))]
 
 
@@ -120,19 +126,15 @@ def _words(path: str | None) -> Words:
 _PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary, task int, nth long"
 _PIECES_PA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64()),
                         ("ids", pa.binary()), ("task", pa.int32()), ("nth", pa.int64())])
-_BATCH_BYTES = 16 << 20
+_BATCH_BYTES = 4 << 20
 
 
-def _each(batch: pa.RecordBatch, words: Words, most: int = 8 << 20) -> Iterator[tuple[int | None, bytes]]:
-    """(doc_id, ids) of a batch, some texts at a time."""
-    texts = batch.column(1).fill_null("")
-    size = np.cumsum(pc.binary_length(texts).to_numpy())
-    start = 0
-    while start < len(texts):
-        before = size[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(size, before + most)))
-        yield from zip(batch.column(0)[start:end].to_pylist(), words.of(texts[start:end]))
-        start = end
+def _each(batch: pa.RecordBatch, words: Words) -> Iterator[tuple[int | None, bytes]]:
+    """(doc_id, ids) of a batch, some megabytes of texts at a time."""
+    docs, start = batch.column(0), 0
+    for texts in slices(batch.column(1), SLICE_BYTES):
+        yield from zip(docs[start : start + len(texts)].to_pylist(), words.of(texts))
+        start += len(texts)
 
 
 def _tokenize(path: str | None, capacity: int, end_id: int):
@@ -158,6 +160,7 @@ def _tokenize(path: str | None, capacity: int, end_id: int):
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _PIECES_PA)], schema=_PIECES_PA)
                     out, size = [[] for _ in _PIECES_PA], 0
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _PIECES_PA)], schema=_PIECES_PA)
+        words.forget()  # the worker goes on to other work
 
     return run
 
