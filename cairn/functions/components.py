@@ -1,8 +1,10 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Kiveris et al. 2014, "Connected components in MapReduce and beyond".  Every round
-is two aggregations and two joins over the edges, all splittable by AQE; nothing
-is gathered on the driver but one fingerprint of the edge set per round.
+is two aggregations and two joins over the edges.  The aggregates are written before
+they are joined, so that either side of a join is a plain shuffle and AQE can split
+the edges of a hub; nothing is gathered on the driver but one fingerprint of the edge
+set per round.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ from cairn.functions.lineage import stash
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return (
         both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     )
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = stash(edges.groupBy("a").agg(F.min("b").alias("m")))
     near = edges.join(least, "a")
     return (
         near.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")),
@@ -47,7 +49,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ends = stash(ends.where("a != b and a is not null and b is not null").distinct())
     seen = _fingerprint(ends)
     while seen[0]:
-        ends = stash(_small_star(_large_star(ends)))
+        ends = stash(_small_star(stash(_large_star(ends))))
         now = _fingerprint(ends)
         if now == seen:
             break

@@ -7,6 +7,8 @@ input twice (once to count, once to write); a written table is computed once.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where none is named (tests)."""
     path = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        local = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        path = f"file://{local}"
         spark.conf.set(SETTING, path)
     return path.rstrip("/")
 

@@ -41,8 +41,8 @@ def read_annotated_room(spark: SparkSession, path: str, scene: str = "0") -> Dat
     """POINT rows of a room: ``path/Annotations/*.txt``, or ``path/*.txt`` if there are none.
 
     A row is X Y Z R G B; without colours they are 128; colours are divided by 255.  A
-    file with a row that has no three numbers is left out whole.  Ids follow the files'
-    names.  RuntimeError if no file can be read.
+    file with a row that has no three numbers is left out whole.  Ids are unique, not
+    dense.  RuntimeError if no file can be read.
     """
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
