@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.lineage import stash
+
 #: Rows up to which a table of a few narrow columns is broadcast.
 MOST_ROWS = 500_000
 
@@ -16,3 +18,8 @@ def broadcast_if_small(df: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     the join is a shuffle whose skewed partitions AQE splits.
     """
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def small_table(df: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """``df`` written once, and broadcast if it is small: computed once for count and join."""
+    return broadcast_if_small(stash(df), most_rows)

@@ -10,6 +10,9 @@ from cairn.functions.components import connected_components
 from cairn.functions.lineage import stash
 from cairn.operators.neighbours import POINT_KEY, radius_pairs
 
+#: Edges between core points up to which components are found on the driver.
+SMALL_GRAPH = 100_000
+
 
 def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     """(scene_id, point_id, cluster_id): -1 is noise.
@@ -23,7 +26,7 @@ def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     reached = pairs.join(core.withColumnRenamed("point_id", "nbr_id"), ["scene_id", "nbr_id"])  # neighbour is core
     node = lambda c: F.struct("scene_id", F.col(c).alias("point_id"))
     edges = reached.join(core, list(POINT_KEY)).where("point_id > nbr_id").select(node("point_id").alias("a"), node("nbr_id").alias("b"))
-    parts = connected_components(edges).select("node.*", F.col("component.point_id").alias("root"))
+    parts = connected_components(edges, gather=SMALL_GRAPH).select("node.*", F.col("component.point_id").alias("root"))
     cores = core.join(parts, list(POINT_KEY), "left").withColumn("root", F.coalesce("root", "point_id"))
     ids = cores.select("scene_id", "root").distinct().withColumn(
         "cluster_id", (F.row_number().over(W.partitionBy("scene_id").orderBy("root")) - 1).cast("int"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.config import Ransac
-from cairn.functions.bounded import broadcast_if_small
+from cairn.functions.bounded import broadcast_if_small, small_table
 from cairn.functions.geometry import canonical_sign, cross, plane_distance, vector
 from cairn.functions.lineage import stash
 from cairn.operators.dbscan import largest_component
@@ -53,7 +53,7 @@ def best_planes(points: DataFrame, distance: float, iterations: int, seed: int =
     Equal counts go to the smaller hypothesis.  Scoring joins points with their scene's
     planes, at most ``iterations`` of them, and counts on the map side.
     """
-    planes = broadcast_if_small(stash(hypotheses(points, iterations, seed)))
+    planes = small_table(hypotheses(points, iterations, seed))
     hit = points.select("scene_id", "x", "y", "z").join(planes, "scene_id").where(plane_distance(F.col("model")) <= F.lit(float(distance)))
     score = hit.groupBy("scene_id", "hypothesis").agg(F.count("*").alias("n_inliers"), F.first("model").alias("model"))
     first = F.struct(-F.col("n_inliers"), F.col("hypothesis"))
@@ -95,7 +95,7 @@ def extract_planes(points: DataFrame, config: Ransac | None = None) -> tuple[Dat
         going = stash(sizes.select("scene_id"))
         if going.isEmpty():
             break
-        active = residual.join(F.broadcast(going) if going.count() < 100_000 else going, "scene_id", "left_semi")
+        active = residual.join(broadcast_if_small(going), "scene_id", "left_semi")
         best = best_planes(active, config.distance_threshold, config.num_iterations, config.seed + k)
         best = stash(best.where(F.col("n_inliers") >= config.min_plane_size))
         if best.isEmpty():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.bounded import broadcast_if_small
+from cairn.functions.bounded import small_table
 from cairn.functions.geometry import vector
 
 
@@ -40,5 +40,5 @@ def floor_height(points: DataFrame, share: float = 0.05) -> DataFrame:
 
 def normalize_floor(points: DataFrame, share: float = 0.05) -> DataFrame:
     """Points moved along z so that the 5th percentile of z is at 0.  No rotation."""
-    floor = broadcast_if_small(floor_height(points, share))
+    floor = small_table(floor_height(points, share))
     return points.join(floor, "scene_id").withColumn("z", F.col("z") - F.col("z_floor")).drop("z_floor").select(*points.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.bounded import broadcast_if_small
+from cairn.functions.bounded import small_table
 from cairn.schemas import COLOURS, COORDINATES, NORMALS
 
 
@@ -17,7 +17,7 @@ def voxel_downsample(points: DataFrame, size: float) -> DataFrame:
     """
     if not size > 0:
         raise ValueError("the voxel size must be positive")
-    corner = broadcast_if_small(points.groupBy("scene_id").agg(*[F.min(c).alias(f"{c}0") for c in COORDINATES]))
+    corner = small_table(points.groupBy("scene_id").agg(*[F.min(c).alias(f"{c}0") for c in COORDINATES]))
     cell = [F.floor((F.col(c) - F.col(f"{c}0")) / F.lit(float(size))).cast("bigint").alias(f"v{c}") for c in COORDINATES]
     values = [c for c in (*COORDINATES, *COLOURS, *NORMALS) if c in points.columns]
     keyed = points.join(corner, "scene_id").select("scene_id", "point_id", *values, *cell)

@@ -129,7 +129,9 @@ def plain_dbscan(p, eps, least):
     return label
 
 
-def test_dbscan_matches_brute_force(spark):
+@pytest.mark.parametrize("gather", [0, 100_000])
+def test_dbscan_matches_brute_force(spark, monkeypatch, gather):
+    monkeypatch.setattr(dbscan, "SMALL_GRAPH", gather)
     df, xyz = two_scenes(spark, 300, 5)
     got = {(r.scene_id, r.point_id): r.cluster_id for r in dbscan.dbscan(df, 0.14, 4).collect()}
     for s, p in xyz.items():
