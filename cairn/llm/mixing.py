@@ -8,8 +8,9 @@ Each leaf then reads its documents in seeded epochs: whole epochs while the budg
 lasts, then the longest prefix of one more epoch's permutation that fits.
 
 Only one scan reads texts, to count tokens.  The permutation is an order by hash; its
-prefix is found in two steps, sums by hash bucket, then the rows of one bucket of each
-leaf, so a leaf may hold any share of all rows.  DataFrame operations only.
+prefix is found in steps, sums by hash bucket, then by bucket within one bucket, then
+the rows of one of those of each leaf, so a leaf may hold any share of all rows.
+DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from cairn.functions.lineage import stash
 
 LEVELS = ("domain", "lang", "source")
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_BITS = 12
+#: Bits of the order hash by which a leaf is narrowed down at a time, and in all.
+STEP_BITS, BUCKET_BITS = 8, 16
 
 
 @dataclass(frozen=True)
@@ -100,6 +102,24 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return leaves.join(above, list(LEVELS)).withColumn("budget", F.floor("given").cast("long")).drop("given")
 
 
+def _bucket(bits: int) -> Column:
+    return F.shiftright("h", 60 - bits)
+
+
+def _edges(hashed: DataFrame) -> DataFrame:
+    """(leaf, edge, before): the bucket in which each leaf's prefix ends, and the tokens ahead of it."""
+    found: DataFrame | None = None
+    for bits in range(STEP_BITS, BUCKET_BITS + 1, STEP_BITS):
+        part = hashed.withColumn("ahead", F.lit(0).cast("long"))
+        if found is not None:
+            part = hashed.join(broadcast_if_small(found.withColumnRenamed("before", "ahead")), list(LEVELS)).where(_bucket(bits - STEP_BITS) == F.col("edge"))
+        sums = part.groupBy(*LEVELS, "left", "ahead", _bucket(bits).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
+        earlier = F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))  # at most 2^STEP_BITS rows
+        ends = sums.withColumn("before", F.col("ahead") + F.coalesce(earlier, F.lit(0))).where("before <= left and before + n > left")
+        found = stash(ends.groupBy(*LEVELS).agg(F.min("bucket").alias("edge"), F.min_by("before", "bucket").alias("before")))
+    return found
+
+
 def mix_plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Counted rows (leaf, key, doc_id, n_tokens), and the leaves with what each reads:
     ``full`` whole epochs, then documents up to bucket ``edge`` and ``cut`` in it."""
@@ -112,15 +132,9 @@ def mix_plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str =
 
     small = broadcast_if_small(leaves.select(*LEVELS, "full", "left"))
     hashed = rows.join(small, list(LEVELS)).withColumn("h", order_hash(mix.seed, F.col("full"), F.col("key")))
-    hashed = hashed.withColumn("bucket", F.shiftright("h", 60 - BUCKET_BITS))
-    sums = hashed.groupBy(*LEVELS, "left", "bucket").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    edges = sums.withColumn("before", before).where("before <= left and before + n > left")
-    edges = stash(edges.groupBy(*LEVELS).agg(F.min("bucket").alias("edge"), F.min_by("before", "bucket").alias("before")))
-
-    small = broadcast_if_small(edges)
-    at_edge = hashed.join(small, list(LEVELS)).where("bucket = edge")
+    edges = _edges(hashed)
     so_far = F.sum("n_tokens").over(W.partitionBy(*LEVELS).orderBy("h", "key")) + F.col("before")
+    at_edge = hashed.join(broadcast_if_small(edges), list(LEVELS)).where(_bucket(BUCKET_BITS) == F.col("edge"))
     cuts = at_edge.withColumn("so_far", so_far).where("so_far <= left").groupBy(*LEVELS).agg(F.max(F.struct("h", "key")).alias("cut"))
     plan = leaves.join(edges.drop("before"), list(LEVELS), "left").join(cuts, list(LEVELS), "left")
     return rows, stash(plan)
@@ -129,7 +143,7 @@ def mix_plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str =
 def _copies(mix: Mix, key: Column) -> Column:
     """Whole epochs and, if the document is in the last one's prefix, one more."""
     h = order_hash(mix.seed, F.col("full"), key)
-    bucket = F.shiftright(h, 60 - BUCKET_BITS)
+    bucket = F.shiftright(h, 60 - BUCKET_BITS)  # as _bucket, of this row's own hash
     inside = F.col("edge").isNull() | (bucket < F.col("edge")) | (
         (bucket == F.col("edge")) & F.col("cut").isNotNull() & (F.struct(h.alias("h"), key.alias("key")) <= F.col("cut")))
     return F.least(F.col("full") + F.when(inside & (F.col("left") > 0), 1).otherwise(0), F.lit(mix.epochs)).cast("int")
