@@ -2,6 +2,7 @@
 
 Every sentence starts a span: the shortest run of at least ``least`` consecutive
 sentences that has ``words`` words, so that a run of one-word sentences is no span.
+A sentence of ``alone`` words or more is a span by itself.
 Spans are hashed and joined globally; in order of (doc_id, position) the first of
 equal spans stays, and sentences covered by any other are removed.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from cairn.functions.lineage import stash
 from cairn.llm.shingles import mix
 
-SENTENCES, WORDS = 2, 20
+SENTENCES, WORDS, ALONE = 2, 20, 50
 _END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -51,17 +52,18 @@ def segments(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str | None, least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(text: str | None, least: int = SENTENCES, words: int = WORDS, alone: int = ALONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first sentence and end sentence (exclusive) of every span of a text."""
     parts = [text[a:b].strip() for a, b in segments(text)] if text else []
     n = len(parts)
-    if n < least:
+    if not n:
         none = np.empty(0, np.int64)
         return none, none, none
     h = np.fromiter((xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) for p in parts), np.uint64, n)
     size = np.r_[0, np.cumsum([p.count(" ") + 1 for p in parts])]
     start = np.arange(n)
     end = np.maximum(np.searchsorted(size, size[:-1] + words), start + least)
+    end = np.where(np.diff(size) >= alone, start + 1, end)
     ok = end <= n
     start, end = start[ok], end[ok]
     with np.errstate(over="ignore"):
@@ -73,13 +75,13 @@ def spans(text: str | None, least: int = SENTENCES, words: int = WORDS) -> tuple
 _FOUND = "hash long, doc_id long, text_key long, first int, last int"
 
 
-def _find(least: int, words: int):
+def _find(least: int, words: int, alone: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
             hashes, rows, first, last = [], [], [], []
             for k, text in enumerate(batch.column(2)):
-                h, a, b = spans(text.as_py(), least, words)
+                h, a, b = spans(text.as_py(), least, words, alone)
                 hashes.append(h)
                 first.append(a)
                 last.append(b)
@@ -114,17 +116,17 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES,
-                          words: int = WORDS) -> DataFrame:
+                          words: int = WORDS, alone: int = ALONE) -> DataFrame:
     """Texts without the sentences that a non-first repeated span covers.
 
     One row per input row: ``doc_id, text_key, n_sentences, n_removed, removed_chars,
     text, first_doc_ids`` (where the removed spans stand first).  The first of equal
     spans is that of the smallest (doc_id, text_key, position), null ids last; a span
     that a text repeats itself counts too.  Rows alike in id and text are one document
-    and come out alike.  Null stays null, a text of fewer sentences has no spans.
+    and come out alike.  Null stays null, a text of fewer sentences or words has no spans.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    found = stash(rows.select("doc_id", "text_key", "text").mapInArrow(_find(least, words), _FOUND))
+    found = stash(rows.select("doc_id", "text_key", "text").mapInArrow(_find(least, words, alone), _FOUND))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "first")
     # written, so that the join below has a plain shuffle on either side and AQE can split it
     first = stash(found.groupBy("hash").agg(F.min(place).alias("of"), F.max(place).alias("to")).where("of != to").select("hash", "of"))

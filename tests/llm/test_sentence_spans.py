@@ -5,7 +5,7 @@ import random
 from cairn.llm import sentence_spans as s
 
 
-def brute(docs, least=2, words=6):
+def brute(docs, least=2, words=6, alone=4):
     """{doc: kept text} with spans as text, the first in (doc, position) staying."""
     seen, out = {}, {}
     every = []
@@ -13,10 +13,10 @@ def brute(docs, least=2, words=6):
         parts = [(t or "")[a:b] for a, b in s.segments(t)]
         clean = [p.strip() for p in parts]
         for i in range(len(parts)):
-            j = i + least
-            while j < len(parts) and sum(c.count(" ") + 1 for c in clean[i:j]) < words:
+            j = i + (1 if clean[i].count(" ") + 1 >= alone else least)
+            while j < len(parts) and clean[i].count(" ") + 1 < alone and sum(c.count(" ") + 1 for c in clean[i:j]) < words:
                 j += 1
-            if j <= len(parts) and sum(c.count(" ") + 1 for c in clean[i:j]) >= words:
+            if j <= len(parts) and (clean[i].count(" ") + 1 >= alone or sum(c.count(" ") + 1 for c in clean[i:j]) >= words):
                 every.append((d, i, j, tuple(clean[i:j])))
     for d, i, j, key in every:
         seen.setdefault(key, (d, i))
@@ -38,7 +38,7 @@ def test_matches_brute_force(spark):
     docs = [(i, rng.choice([" ", "\n"]).join(rng.choices(pool, k=rng.randint(0, 9)))) for i in range(60)]
     docs += [(60, None), (61, ""), (62, docs[3][1]), (63, "\n".join([docs[3][1]] * 2))]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, first int")
-    got = {r.doc_id: r for r in s.remove_repeated_spans(df, least=2, words=6).collect()}
+    got = {r.doc_id: r for r in s.remove_repeated_spans(df, least=2, words=6, alone=4).collect()}
     want = brute(docs)
     assert {d: r.text for d, r in got.items()} == want
     assert all((r.n_removed > 0) == (r.text != dict(docs)[d]) for d, r in got.items())
