@@ -12,6 +12,7 @@ from cairn.functions.geometry import canonical_sign, cross, plane_distance, vect
 from cairn.functions.lineage import stash
 from cairn.operators.dbscan import largest_component
 from cairn.operators.neighbours import POINT_KEY
+from cairn.operators.summaries import plane_summary
 
 #: Modulus and multiplier of the sampling order (whole numbers, portable to any SQL engine).
 MODULUS, MULTIPLIER = 2147483647, 48271
@@ -104,9 +105,9 @@ def extract_planes(points: DataFrame, config: Ransac | None = None) -> tuple[Dat
         hit = stash(inliers(active, best, config.distance_threshold))
         kept = stash(largest_component(hit, 5 * config.distance_threshold, 10).withColumn("plane_id", F.lit(k)))
         residual = stash(take_rest(residual, hit))
-        stats = kept.groupBy("scene_id").agg(F.count("*").alias("inlier_count"), F.median("z").alias("centroid_z"))
+        stats = plane_summary(kept)
         planes.append(best.join(stats, "scene_id").select(
-            "scene_id", F.lit(k).alias("plane_id"), F.lit("unknown").alias("label"), "inlier_count", "centroid_z",
+            "scene_id", "plane_id", F.lit("unknown").alias("label"), "inlier_count", "centroid_z",
             F.slice("model", 1, 3).alias("normal"), F.col("model").alias("plane_model"), (F.col("n_inliers") - F.col("inlier_count")).alias("n_dropped")))
         members.append(kept)
     spark = points.sparkSession

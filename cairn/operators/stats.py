@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.bounded import small_table
 from cairn.functions.geometry import vector
+from cairn.functions.ranks import grouped_percentile
 
 
 def _stats() -> list[Column]:
@@ -35,7 +36,7 @@ def scene_height(points: DataFrame) -> DataFrame:
 
 def floor_height(points: DataFrame, share: float = 0.05) -> DataFrame:
     """(scene_id, z_floor): exact percentile of z with linear interpolation."""
-    return points.groupBy("scene_id").agg(F.percentile("z", F.lit(share)).alias("z_floor"))
+    return grouped_percentile(points, ["scene_id"], "z", share, "z_floor")
 
 
 def normalize_floor(points: DataFrame, share: float = 0.05) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.geometry import vector, yaw
+from cairn.functions.ranks import grouped_percentile
 from cairn.operators.normals import AXES, covariances, eigen
 
 
@@ -39,13 +40,15 @@ def by_size(clusters: DataFrame, key: str = "cluster_id") -> DataFrame:
 
 def plane_summary(members: DataFrame, key: str = "plane_id") -> DataFrame:
     """(scene_id, key, inlier_count, centroid_z): count and exact median height of the members."""
-    return members.groupBy("scene_id", key).agg(F.count("*").alias("inlier_count"), F.median("z").alias("centroid_z"))
+    middle = grouped_percentile(members, ["scene_id", key], "z", 0.5, "centroid_z")
+    return members.groupBy("scene_id", key).agg(F.count("*").alias("inlier_count")).join(middle, ["scene_id", key])
 
 
 def region_summary(members: DataFrame) -> DataFrame:
     """One row for each region; ``normal`` is the mean normal, to unit length if it is not zero."""
+    middle = grouped_percentile(members, ["scene_id", "region_id"], "z", 0.5, "centroid_z")
     found = members.groupBy("scene_id", "region_id").agg(
-        F.count("*").alias("n_points"), F.median("z").alias("centroid_z"), *[F.avg(f"n{c}").alias(f"n{c}") for c in "xyz"], *box())
+        F.count("*").alias("n_points"), *[F.avg(f"n{c}").alias(f"n{c}") for c in "xyz"], *box()).join(middle, ["scene_id", "region_id"])
     size = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)
     unit = [F.when(size > 1e-9, F.col(f"n{c}") / size).otherwise(F.col(f"n{c}")) for c in "xyz"]
     return found.select("scene_id", "region_id", "n_points", "centroid", "centroid_z", "dims", vector(*unit).alias("normal"), "z_min", "z_max", "footprint_m2")

@@ -39,6 +39,17 @@ def test_stats_of_scenes_and_of_nothing(spark):
     assert none.n_points == 0 and none.bbox_min == [0, 0, 0] and none.centroid == [0, 0, 0] and not none.has_colors
 
 
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.5, 0.999, 1.0])
+def test_grouped_percentile(spark, share):
+    from cairn.functions.ranks import grouped_percentile
+
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(size=3000), "b": np.repeat([1.0, 2.0, 7.5], [5, 900, 3]), "c": np.array([4.25]), "d": np.r_[rng.uniform(0, 1e-9, 50), 1e9], "e": np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("none", None)]
+    got = {r.k: r.p for r in grouped_percentile(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", share, "p").collect()}
+    assert got == {k: pytest.approx(np.percentile(v, 100 * share), rel=1e-12, abs=1e-15) for k, v in groups.items()}
+
+
 def test_normalize_floor(spark):
     df, xyz = two_scenes(spark)
     for scene, p in xyz.items():
