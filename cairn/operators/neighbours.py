@@ -60,7 +60,7 @@ def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
     The radius starts from the scene's density and doubles for the points that have not
     found k neighbours within it; a point whose scene has fewer gets all there are.
     """
-    at = points.select(*POINT_KEY, "x", "y", "z")
+    at = stash(points.select(*POINT_KEY, "x", "y", "z"))
     extent = F.greatest(*[F.max(c) - F.min(c) for c in "xyz"])
     scenes = at.groupBy("scene_id").agg(F.count("*").alias("n"), F.greatest(extent, F.lit(1e-9)).alias("extent"))
     start = F.col("extent") * F.pow(F.lit(k + 1.0) / F.col("n"), 1 / 3)

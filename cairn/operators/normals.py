@@ -51,12 +51,12 @@ def estimate_normals(points: DataFrame, radius: float = 0.1, most: int = 30) ->
     return points.drop("nx", "ny", "nz").join(normal, list(POINT_KEY))
 
 
-def curvature(points: DataFrame, k: int = 30) -> DataFrame:
+def curvature(points: DataFrame, k: int = 30, near: DataFrame | None = None) -> DataFrame:
     """(scene_id, point_id, curvature): 1 - mean |n . m| over the k - 1 nearest other points.
 
-    A point without neighbours has curvature 1.
+    A point without neighbours has curvature 1.  ``near`` spares the search if it is known.
     """
-    near = nearest_neighbours(points, k - 1)
+    near = nearest_neighbours(points, k - 1) if near is None else near
     mine = points.select(*POINT_KEY, "nx", "ny", "nz")
     other = points.select("scene_id", F.col("point_id").alias("nbr_id"), *[F.col(f"n{c}").alias(f"m{c}") for c in "xyz"])
     bent = near.join(other, ["scene_id", "nbr_id"]).join(mine, list(POINT_KEY))

@@ -105,10 +105,7 @@ def extract_planes(points: DataFrame, config: Ransac | None = None) -> tuple[Dat
         hit = stash(inliers(active, best, config.distance_threshold))
         kept = stash(largest_component(hit, 5 * config.distance_threshold, 10).withColumn("plane_id", F.lit(k)))
         residual = stash(take_rest(residual, hit))
-        stats = plane_summary(kept)
-        planes.append(best.join(stats, "scene_id").select(
-            "scene_id", "plane_id", F.lit("unknown").alias("label"), "inlier_count", "centroid_z",
-            F.slice("model", 1, 3).alias("normal"), F.col("model").alias("plane_model"), (F.col("n_inliers") - F.col("inlier_count")).alias("n_dropped")))
+        planes.append(best.withColumn("plane_id", F.lit(k)))
         members.append(kept)
     spark = points.sparkSession
     if not planes:
@@ -119,4 +116,7 @@ def extract_planes(points: DataFrame, config: Ransac | None = None) -> tuple[Dat
     found, owned = planes[0], members[0]
     for p, m in zip(planes[1:], members[1:]):
         found, owned = found.unionByName(p), owned.unionByName(m)
-    return found, owned, residual
+    told = found.join(plane_summary(owned), ["scene_id", "plane_id"]).select(
+        "scene_id", "plane_id", F.lit("unknown").alias("label"), "inlier_count", "centroid_z", F.slice("model", 1, 3).alias("normal"),
+        F.col("model").alias("plane_model"), (F.col("n_inliers") - F.col("inlier_count")).alias("n_dropped"))
+    return told, owned, residual

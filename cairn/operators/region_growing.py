@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cairn.config import RegionGrowing
 from cairn.functions.components import connected_components
 from cairn.functions.geometry import dot
+from cairn.functions.lineage import stash
 from cairn.operators.neighbours import POINT_KEY, nearest_neighbours
 from cairn.operators.normals import curvature
 
@@ -65,16 +66,17 @@ def grow_regions(points: DataFrame, config: RegionGrowing | None = None) -> Data
 
     Points of a region that stays too small are taken and go to the residual.
     """
-    config = config or RegionGrowing()
-    near = nearest_neighbours(points, config.k_neighbours - 1).groupBy(*POINT_KEY).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rank", "nbr_id"))), lambda x: x["nbr_id"]).alias("near"))
-    rows = points.select(*POINT_KEY, "nx", "ny", "nz").join(curvature(points, config.k_neighbours), list(POINT_KEY)).join(near, list(POINT_KEY), "left")
+    config, points = config or RegionGrowing(), stash(points)
+    found = stash(nearest_neighbours(points, config.k_neighbours - 1))
+    near = found.groupBy(*POINT_KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "nbr_id"))), lambda x: x["nbr_id"]).alias("near"))
+    bent = curvature(points, config.k_neighbours, found)
+    rows = points.select(*POINT_KEY, "nx", "ny", "nz").join(bent, list(POINT_KEY)).join(near, list(POINT_KEY), "left")
     return rows.groupBy("scene_id").applyInPandas(_grow(config), "scene_id string, point_id long, region_id int")
 
 
 def smooth_regions(points: DataFrame, config: RegionGrowing | None = None) -> DataFrame:
     """(scene_id, point_id, root): components over neighbours whose normals agree.  Not the greedy fill."""
-    config = config or RegionGrowing()
+    config, points = config or RegionGrowing(), stash(points)
     near = nearest_neighbours(points, config.k_neighbours - 1)
     mine = points.select(*POINT_KEY, "nx", "ny", "nz")
     other = points.select("scene_id", F.col("point_id").alias("nbr_id"), *[F.col(f"n{c}").alias(f"m{c}") for c in "xyz"])
