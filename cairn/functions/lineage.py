@@ -11,21 +11,25 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 
+@lru_cache(maxsize=None)
+def _local_dir(application: str) -> str:
+    """A folder for one application on this machine, removed at exit."""
+    local = tempfile.mkdtemp(prefix=f"cairn-{application}-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    return f"file://{local}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where none is named (tests)."""
     path = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not path:
-        local = tempfile.mkdtemp(prefix="cairn-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        path = f"file://{local}"
-        spark.conf.set(SETTING, path)
-    return path.rstrip("/")
+    return (path or _local_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 
 def stash(df: DataFrame) -> DataFrame:

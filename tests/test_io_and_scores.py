@@ -126,6 +126,16 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_written_tables_and_their_folder(spark, monkeypatch):
+    from cairn.functions import lineage
+
+    df = lineage.stash(spark.range(5))
+    assert df.count() == 5 and df.columns == ["id"]
+    monkeypatch.setattr(lineage, "SETTING", "spark.cairn.unset")  # where the cluster names no folder
+    assert lineage.shared_dir(spark) == lineage.shared_dir(spark) and lineage.shared_dir(spark).startswith("file:///")
+    assert lineage.stash(spark.range(3)).count() == 3
+
+
 def test_synthetic_rooms(spark):
     room = synthetic.synthetic_room(spark, density=200, share=0.1)
     counts = {r.part: r["count"] for r in room.groupBy("part").count().collect()}
