@@ -51,3 +51,44 @@ def test_repeated_rows_and_null_ids(spark):
     rows = s.remove_repeated_spans(df, words=5).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (0, 3), (1, 0), (1, 0)]
     assert s.remove_repeated_spans(df.limit(0)).count() == 0
+
+
+def brute_all(docs, least, words, alone):
+    """{doc: kept text}: every run is a span if it has the sentences and words, or is one long sentence."""
+    seen, every = {}, []
+    for d, t in sorted(docs):
+        clean = [(t or "")[a:b].strip() for a, b in s.segments(t)]
+        n = [c.count(" ") + 1 for c in clean]
+        runs = [(i, j) for i in range(len(n)) for j in range(i + 1, len(n) + 1) if j - i >= least and sum(n[i:j]) >= words or j - i == 1 and n[i] >= alone]
+        every += [(d, i, j, tuple(clean[i:j])) for i, j in runs]
+    for d, i, _, key in every:
+        seen.setdefault(key, (d, i))
+    out = {}
+    for d, t in docs:
+        gone = {k for x, i, j, key in every if x == d and seen[key] != (d, i) for k in range(i, j)}
+        out[d] = None if t is None else "".join(t[a:b] for k, (a, b) in enumerate(s.segments(t)) if k not in gone)
+    return out
+
+
+def words_of(tag, n):
+    return " ".join(f"{tag}{k}" for k in range(n)) + ". "
+
+
+def kept(spark, docs, **how):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    return {r.doc_id: r.text for r in s.remove_repeated_spans(df, **how).collect()}
+
+
+def test_all_runs_without_long_sentences(spark):
+    rng = random.Random(6)
+    pool = [" ".join(rng.choices("alpha beta gamma delta".split(), k=rng.randint(1, 4))) + "." for _ in range(30)]
+    docs = [(i, " ".join(rng.choices(pool, k=rng.randint(0, 12)))) for i in range(80)]
+    docs += [(100 + i, " ".join(rng.choices(pool, k=2)) + " " + docs[i][1] + " " + " ".join(rng.choices(pool, k=2))) for i in range(40)]
+    assert kept(spark, docs, least=2, words=6, alone=99) == brute_all(docs, 2, 6, 99)
+    assert kept(spark, docs, least=3, words=7, alone=99) == brute_all(docs, 3, 7, 99)
+
+
+def test_tail_of_a_repeated_passage_goes(spark):
+    passage = "".join(words_of(t, n) for t, n in (("a", 25), ("b", 25), ("c", 5), ("d", 5)))
+    docs = [(k, f"Head of text {k}. {passage}{words_of(f'tail{k}x', 30)}") for k in (1, 2)]
+    assert kept(spark, docs) == {1: docs[0][1], 2: f"Head of text 2. {words_of('tail2x', 30)}"}
