@@ -4,7 +4,7 @@ A span is a run of at least ``least`` consecutive sentences that has ``words`` w
 so that a run of one-word sentences is none.  Every sentence starts one, the shortest
 from there on, and ends one, the shortest up to there: any sentence of a longer
 repeated run lies in one of these within it, so they cover what all runs cover.
-Instead, a sentence of ``alone`` words or more starts only the span of itself.
+Besides, a sentence of ``alone`` words or more is a span by itself.
 Spans are hashed and joined globally; in order of (doc_id, position) the first of
 equal spans stays, and sentences covered by any other are removed.
 
@@ -65,13 +65,14 @@ def spans(text: str | None, least: int = SENTENCES, words: int = WORDS, alone: i
     size = np.r_[0, np.cumsum([p.count(" ") + 1 for p in parts])]
     start = np.arange(n)
     end = np.maximum(np.searchsorted(size, size[:-1] + words), start + least)
-    end = np.where(np.diff(size) >= alone, start + 1, end)
     until = np.arange(1, n + 1)
     since = np.minimum(np.searchsorted(size, size[1:] - words, "right") - 1, until - least)
     # those that are the shortest from their start are there already
     new = (since >= 0) & (end[np.maximum(since, 0)] != until)
-    ok = end <= n
-    start, end = np.r_[start[ok], since[new]], np.r_[end[ok], until[new]]
+    ok, long = end <= n, np.diff(size) >= alone
+    if least == 1:
+        long &= end != until  # else there already
+    start, end = np.r_[start[ok], since[new], start[long]], np.r_[end[ok], until[new], until[long]]
     with np.errstate(over="ignore"):
         total = np.r_[np.uint64(0), np.cumsum(mix(h) * _powers(_BASE, n - 1), dtype=np.uint64)]
         value = mix((total[end] - total[start]) * _powers(_INVERSE, n)[start] + (end - start).astype(np.uint64))

@@ -92,3 +92,22 @@ def test_tail_of_a_repeated_passage_goes(spark):
     passage = "".join(words_of(t, n) for t, n in (("a", 25), ("b", 25), ("c", 5), ("d", 5)))
     docs = [(k, f"Head of text {k}. {passage}{words_of(f'tail{k}x', 30)}") for k in (1, 2)]
     assert kept(spark, docs) == {1: docs[0][1], 2: f"Head of text 2. {words_of('tail2x', 30)}"}
+
+
+def test_all_runs_and_long_sentences(spark):
+    rng = random.Random(7)
+    pool = [" ".join(rng.choices("alpha beta gamma delta".split(), k=rng.randint(1, 6))) + "." for _ in range(30)]
+    docs = [(i, " ".join(rng.choices(pool, k=rng.randint(0, 12)))) for i in range(80)]
+    docs += [(100 + i, " ".join(rng.choices(pool, k=2)) + " " + docs[i][1] + " " + " ".join(rng.choices(pool, k=2))) for i in range(40)]
+    for least in (1, 2, 3):
+        assert kept(spark, docs, least=least, words=8, alone=5) == brute_all(docs, least, 8, 5)
+
+
+def test_runs_from_a_long_sentence_go_whole(spark):
+    pair, three = words_of("a", 60) + words_of("b", 30), words_of("a", 60) + words_of("b", 5) + words_of("c", 5)
+    for run, least in ((pair, 2), (three, 3)):
+        docs = [(k, f"Head of text {k}. {run}{words_of(f'tail{k}x', 30)}") for k in (1, 2)]
+        assert kept(spark, docs, least=least) == {1: docs[0][1], 2: f"Head of text 2. {words_of('tail2x', 30)}"}
+    # the lone sentence still goes where what follows differs
+    docs = [(k, words_of("a", 60) + words_of(f"tail{k}x", 30)) for k in (1, 2)]
+    assert kept(spark, docs)[2] == words_of("tail2x", 30)
