@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions.geometry import vector, yaw
@@ -38,6 +39,15 @@ def by_size(clusters: DataFrame, key: str = "cluster_id") -> DataFrame:
     return clusters.orderBy("scene_id", F.desc("n_points"), key)
 
 
+def ranked_by_size(clusters: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """All clusters with their ``rank`` (from 1) in the scene: most points first, equals in order of their id.
+
+    A scene's clusters are ranked in one task.
+    """
+    order = W.partitionBy("scene_id").orderBy(F.desc("n_points"), key)
+    return clusters.withColumn("rank", F.row_number().over(order).cast("long"))
+
+
 def plane_summary(members: DataFrame, key: str = "plane_id") -> DataFrame:
     """(scene_id, key, inlier_count, centroid_z): count and exact median height of the members."""
     middle = grouped_percentile(members, ["scene_id", key], "z", 0.5, "centroid_z")

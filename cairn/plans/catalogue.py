@@ -165,6 +165,12 @@ def object_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.by_size(views.objects(spark, sf_dir)).select("cluster_id", "n_points").limit(100)
 
 
+@query(f"{views.with_views('room', 'objects')} SELECT cluster_id, n_points, row_number() OVER (ORDER BY n_points DESC, cluster_id) AS rank FROM objects")
+def object_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All objects with their rank by size, ties to the smaller id."""
+    return summaries.ranked_by_size(views.objects(spark, sf_dir)).select("cluster_id", "n_points", "rank")
+
+
 @query(f"{views.with_views('room', 'objects')} SELECT cluster_id, x0, y0, z_min AS z0, x1, y1, z_max AS z1 FROM objects")
 def aabb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.objects(spark, sf_dir).select("cluster_id", *_flat("aabb_min", ("x0", "y0", "z0")), *_flat("aabb_max", ("x1", "y1", "z1")))

@@ -23,3 +23,11 @@ def test_query_without_sql_runs(spark, name):
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_ranking_has_every_object(spark):
+    rows = catalogue.QUERIES["object_ranking"](spark, SF_DIR).collect()
+    assert len(rows) == catalogue.QUERIES["object_summary"](spark, SF_DIR).count() > 100
+    rows.sort(key=lambda r: r["rank"])
+    assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+    assert rows == sorted(rows, key=lambda r: (-r["n_points"], r["cluster_id"]))
