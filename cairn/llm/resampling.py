@@ -22,11 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.bounded import small_table
 from cairn.functions.lineage import stash
 from cairn.functions.ranks import kth_largest
 from cairn.llm.shingles import coded_words, mix, slices
 
-#: Hash buckets; most labelled rows used for the target and for holding out, each.
+#: Hash buckets; most labelled rows used for the target.
 BUCKETS, MOST_LABELLED = 8192, 20_000
 MISS, SEED = 0.0005, 11
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -96,6 +97,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row_key"), text.alias("text"))
 
 
+def _percentile(df: DataFrame, column: str, share: float) -> float | None:
+    """Exact percentile of a written column, with linear interpolation; None of no rows."""
+    n = df.count()
+    if not n:
+        return None
+    at = (n - 1) * share
+    first = int(at)
+    low = kth_largest(df, column, n - first)
+    return low if at == first else low + (kth_largest(df, column, n - first - 1) - low) * (at - first)
+
+
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS,
              most_labelled: int = MOST_LABELLED, miss: float = MISS, seed: int = SEED) -> DataFrame:
     """One row per input row: ``doc_id, row_key, log_weight, draw, kept``.
@@ -109,14 +121,14 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
     half = F.pmod(F.xxhash64("good_id", F.lit(seed)), F.lit(2))
     order = F.xxhash64("good_id", F.lit(seed + 1))
-    fit, held = (good.where(half == k).orderBy(order).limit(most_labelled) for k in (0, 1))
+    fit, held = good.where(half == 0).orderBy(order).limit(most_labelled), good.where(half == 1)
     marked = rows.join(F.broadcast(fit), F.col("doc_id") == F.col("good_id"), "left")  # at most most_labelled ids
     counts = marked.select("text", F.col("good_id").isNotNull().alias("good")).mapInArrow(_count(buckets), "bucket long, raw long, target long")
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most buckets rows
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     weighed = stash(rows.mapInArrow(_weigh(log_ratio(raw, target), seed), "doc_id long, row_key long, log_weight double, draw double"))
-    floor = weighed.join(F.broadcast(held), F.col("doc_id") == F.col("good_id")).agg(F.percentile("log_weight", F.lit(miss))).first()[0]
+    floor = _percentile(stash(weighed.join(small_table(held), F.col("doc_id") == F.col("good_id")).select("log_weight")), "log_weight", miss)
     lowest = None
     if floor is not None:
         lowest = kth_largest(weighed, "draw", weighed.where(F.col("log_weight") >= floor).count())

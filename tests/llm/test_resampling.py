@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.functions.ranks import kth_largest
 from cairn.llm import resampling as r
@@ -65,3 +66,15 @@ def test_kth_largest(spark, k):
     df = spark.range(30_000).selectExpr("cast(pmod(hash(id), 5000) as double) / 7 as x", "id")
     assert kth_largest(df, "x", k) == sorted((v[0] for v in df.select("x").collect()), reverse=True)[k - 1]
     assert kth_largest(df, "x", 30_001) is None
+
+
+def test_floor_is_over_all_held_out(spark):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    held = {x.doc_id for x in labels.where(F.pmod(F.xxhash64("doc_id", F.lit(r.SEED)), F.lit(2)) == 1).collect() if x.doc_id % 5}
+    for share in (0.0, 0.05, 0.3):
+        rows = r.resample(df, labels, most_labelled=10, miss=share).collect()
+        floor = np.percentile([x.log_weight for x in rows if x.doc_id in held], 100 * share)
+        k = sum(x.log_weight >= floor - 1e-9 for x in rows)
+        assert len(held) > 100 and sum(x.kept for x in rows) == k
