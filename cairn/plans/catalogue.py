@@ -473,7 +473,7 @@ def smooth_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def synthetic_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of each part of a generated room; random, so only counts are fixed."""
-    return synthetic.synthetic_room(spark, density=1000).groupBy("part").agg(F.count("*").alias("n_points"))
+    return synthetic.synthetic_room(spark).groupBy("part").agg(F.count("*").alias("n_points"))
 
 
 @query()

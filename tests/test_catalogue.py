@@ -31,3 +31,7 @@ def test_ranking_has_every_object(spark):
     rows.sort(key=lambda r: r["rank"])
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
     assert rows == sorted(rows, key=lambda r: (-r["n_points"], r["cluster_id"]))
+
+
+def test_synthetic_room_has_the_default_density(spark):
+    assert sum(r["n_points"] for r in catalogue.QUERIES["synthetic_room"](spark, SF_DIR).collect()) == 89_000
