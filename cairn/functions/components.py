@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.functions.lineage import stash
+from cairn.functions.lineage import settle, stash
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -65,16 +65,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", gather: i
     A node that only has a self loop does not appear.  Up to ``gather`` different edges
     are united on the driver, which spares a small graph the rounds; by default none are.
     """
-    ends = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    ends = stash(ends.where("a != b and a is not null and b is not null").distinct())
-    seen = _fingerprint(ends)
-    if seen[0] <= gather:
-        return _united(ends)
-    while seen[0]:
-        ends = stash(_small_star(stash(_large_star(ends))))
-        now = _fingerprint(ends)
-        if now == seen:
-            break
-        seen = now
-    roots = ends.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return ends.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    spark = edges.sparkSession
+
+    def rounds() -> DataFrame:
+        ends = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+        ends = stash(ends.where("a != b and a is not null and b is not null").distinct())
+        seen = _fingerprint(ends)
+        if seen[0] <= gather:
+            return _united(ends)
+        while seen[0]:
+            ends = settle(spark, lambda now=ends: _small_star(stash(_large_star(now))))
+            now = _fingerprint(ends)
+            if now == seen:
+                break
+            seen = now
+        roots = ends.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
+        return ends.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+    return settle(spark, rounds)

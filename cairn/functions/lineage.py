@@ -3,6 +3,9 @@
 A table written there survives the loss of any executor, and later stages read it
 instead of recomputing what led to it.  ``DataFrame.checkpoint`` would compute its
 input twice (once to count, once to write); a written table is computed once.
+
+``settle`` writes a result and deletes the tables that were written on the way to it;
+what is left of an application's tables goes when its driver exits.
 """
 
 from __future__ import annotations
@@ -10,14 +13,31 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+import weakref
+from collections.abc import Callable
 from functools import lru_cache
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 
+class _Scopes(threading.local):
+    """Paths written inside each ``settle`` that is under way in a thread, innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
+#: Where the tables that ``stash`` and ``settle`` returned lie.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 @lru_cache(maxsize=None)
 def _local_dir(application: str) -> str:
     """A folder for one application on this machine, removed at exit."""
@@ -27,14 +47,73 @@ def _local_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named (tests)."""
+    """The cluster's shared folder; a local one only where none is named and all runs on this machine."""
     path = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    return (path or _local_dir(spark.sparkContext.applicationId)).rstrip("/")
+    if path:
+        return path.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"{SETTING} must name a folder that all executors of {master} share")
+    return _local_dir(spark.sparkContext.applicationId)
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder, and read back."""
+def _delete(conf: JavaObject, path: str) -> None:
+    from pyspark import SparkContext
+
+    where = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+def _delete_at_exit(conf: JavaObject, path: str) -> None:
+    try:
+        _delete(conf, path)
+    except (Py4JError, OSError, AttributeError):
+        pass  # the JVM has gone already
+
+
+@lru_cache(maxsize=None)
+def _folder(spark: SparkSession, shared: str, application: str) -> str:
+    """The application's folder in the shared one, deleted when the driver exits."""
+    path = f"{shared}/cairn-{application}"
+    atexit.register(_delete_at_exit, spark._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def _write(df: DataFrame) -> tuple[str, DataFrame]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cairn-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_folder(spark, shared_dir(spark), spark.sparkContext.applicationId)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return path, table
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder, and read back."""
+    path, table = _write(df)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
+    return table
+
+
+def settle(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written as by ``stash``; tables written on the way are deleted.
+
+    Nothing that reads those tables may outlive ``make`` but its result.
+    """
+    _scopes.open.append([])
+    try:
+        path, table = _write(make())
+    finally:
+        for gone in _scopes.open.pop():
+            _delete(spark._jsc.hadoopConfiguration(), gone)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stash`` or ``settle`` returned, once nothing reads it any more."""
+    path = _paths.pop(table, None)
+    if path is not None:
+        _delete(table.sparkSession._jsc.hadoopConfiguration(), path)

@@ -2,13 +2,21 @@
 
 Every stage takes all that its predecessor kept; all but the last return the columns
 of ``documents``.  No part of it is SQL: model fitting and tokenization are not.
+
+Rows with null or empty texts pass every stage and end as a piece of the end id alone;
+null ids, languages and sources are values like others; rows repeated in id and text
+are one document from the second stage on; ties fall as each operator's docstring says;
+further columns are carried to the last stage, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.functions.lineage import stash
+from cairn.functions.lineage import discard, settle
 from cairn.llm.mixing import Mix, mix_sources
 from cairn.llm.ngram_join import keep_one
 from cairn.llm.packing import pack
@@ -53,8 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each written and read back for the next."""
+    """Apply the stages to ``documents``, each written and read back for the next.
+
+    Tables on the way are deleted as soon as the stage that reads them is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, settle(spark, partial(stage, spark, docs, sf_dir))
+        discard(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # written by ``pack``
+    discard(docs)
+    return out
