@@ -7,6 +7,9 @@ noise and keeping the k largest samples k documents without replacement in propo
 to their weights; those not drawn are rejected.  k comes from labelled good documents
 held out from the target: it is the number of documents that weigh at least as much
 as all but a ``miss`` share of them.
+
+Texts are taken apart once; a table of their buckets (two bytes an n-gram) is counted
+and then weighed.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.bounded import small_table
-from cairn.functions.lineage import stash
+from cairn.functions.lineage import settle, stash
+from cairn.functions.names import prefix
 from cairn.functions.ranks import kth_largest
 from cairn.llm.shingles import coded_words, mix, slices
+from cairn.llm.workers import arrow_batches, tidy
 
 #: Hash buckets; most labelled rows used for the target.
 BUCKETS, MOST_LABELLED = 8192, 20_000
@@ -53,11 +58,28 @@ def ngram_buckets(texts: pa.Array, buckets: int = BUCKETS) -> Iterator[np.ndarra
             yield np.concatenate([single[a:b], pairs[a : max(a, b - 1)]]).astype(np.int64)
 
 
+_GRAMS = "doc_id long, row_key long, grams binary"
+
+
+def _take_apart(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [g.astype("<u2").tobytes() for g in ngram_buckets(batch.column(2), buckets)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(grams, pa.binary())], names=["doc_id", "row_key", "grams"])
+
+    return tidy(run)
+
+
+def _read(column: pa.Array) -> Iterator[np.ndarray]:
+    for grams in column:
+        yield np.frombuffer(grams.as_buffer(), "<u2")
+
+
 def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            for grams, good in zip(ngram_buckets(batch.column(0), buckets), batch.column(1).to_pylist()):
+            for grams, good in zip(_read(batch.column(0)), batch.column(1).to_pylist()):
                 n = np.bincount(grams, minlength=buckets)
                 raw += n
                 if good:
@@ -65,7 +87,7 @@ def _count(buckets: int):
         at = np.flatnonzero(raw)
         yield pa.record_batch([at, raw[at], target[at]], names=["bucket", "raw", "target"])
 
-    return run
+    return tidy(run)
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -84,12 +106,12 @@ def gumbel(seed: int, key: int) -> float:
 def _weigh(ratio: np.ndarray, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = [float(ratio[grams].sum()) for grams in ngram_buckets(batch.column(2), len(ratio))]
+            w = [float(ratio[grams].sum()) for grams in _read(batch.column(2))]
             g = [x + gumbel(seed, k) for x, k in zip(w, batch.column(1).to_pylist())]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(w, pa.float64()), pa.array(g, pa.float64())],
                                   names=["doc_id", "row_key", "log_weight", "draw"])
 
-    return run
+    return tidy(run)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -117,17 +139,25 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     0.  Rows alike in id and text draw alike; rows that tie with the k-th are all kept.
     Without good labels there is no target, all weigh 0 and all are kept.
     """
-    rows = _keyed(docs, id_col, text_col)
+    if not 0 < buckets <= 1 << 16:
+        raise ValueError("buckets must be between 1 and 65536")
+    spark = docs.sparkSession
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
     half = F.pmod(F.xxhash64("good_id", F.lit(seed)), F.lit(2))
     order = F.xxhash64("good_id", F.lit(seed + 1))
     fit, held = good.where(half == 0).orderBy(order).limit(most_labelled), good.where(half == 1)
-    marked = rows.join(F.broadcast(fit), F.col("doc_id") == F.col("good_id"), "left")  # at most most_labelled ids
-    counts = marked.select("text", F.col("good_id").isNotNull().alias("good")).mapInArrow(_count(buckets), "bucket long, raw long, target long")
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most buckets rows
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    weighed = stash(rows.mapInArrow(_weigh(log_ratio(raw, target), seed), "doc_id long, row_key long, log_weight double, draw double"))
+
+    def weighing() -> DataFrame:
+        apart = stash(_keyed(docs, id_col, text_col).mapInArrow(_take_apart(buckets), _GRAMS))
+        marked = apart.join(F.broadcast(fit), F.col("doc_id") == F.col("good_id"), "left")  # at most most_labelled ids
+        counts = marked.select("grams", F.col("good_id").isNotNull().alias("good")).mapInArrow(_count(buckets), "bucket long, raw long, target long")
+        raw, target = np.zeros(buckets), np.zeros(buckets)
+        for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most buckets rows
+            raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+        return apart.mapInArrow(_weigh(log_ratio(raw, target), seed), "doc_id long, row_key long, log_weight double, draw double")
+
+    with arrow_batches(spark):
+        weighed = settle(spark, weighing)
     floor = _percentile(stash(weighed.join(small_table(held), F.col("doc_id") == F.col("good_id")).select("log_weight")), "log_weight", miss)
     lowest = None
     if floor is not None:
@@ -136,7 +166,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that resampling keeps, columns unchanged."""
-    gone = resample(docs, labels, id_col, text_col, **how).where("not kept").select(F.col("row_key").alias("__key")).distinct()
+    """The rows of ``docs`` that resampling keeps, all their columns unchanged, whatever their names."""
+    p = prefix(docs)
+    gone = resample(docs, labels, id_col, text_col, **how).where("not kept").select(F.col("row_key").alias(f"{p}key")).distinct()
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return docs.withColumn("__row", key).join(gone, F.col("__row") == F.col("__key"), "left_anti").drop("__row")
+    return docs.withColumn(f"{p}row", key).join(gone, F.col(f"{p}row") == F.col(f"{p}key"), "left_anti").drop(f"{p}row")
