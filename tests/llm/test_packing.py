@@ -1,5 +1,6 @@
 """Packing: exact round trip of the ids, and best-fit decreasing piece by piece."""
 
+import json
 import random
 
 import numpy as np
@@ -54,7 +55,7 @@ def test_ids_and_layout(spark):
         want = whole.encode(text or "", add_special_tokens=False).ids + [2]
         mine = sorted((r for r in rows if r.doc_id == (None if i == 2 else i)), key=lambda r: r.start)
         assert sum((np.frombuffer(r.ids, "<u4").tolist() for r in mine), []) == want
-        assert [r.start for r in mine] == list(range(0, len(want), 512)) and {r.doc_tokens for r in mine} == {len(want)}
+        assert {r.doc_tokens for r in mine} == {len(want)} and all(r.length * 4 == len(r.ids) <= 2048 for r in mine)
     windows = {}
     for r in rows:
         windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -63,8 +64,48 @@ def test_ids_and_layout(spark):
         for offset, length in sorted(parts):
             assert offset == end
             end += length
-        assert end <= 512
-    assert sorted(windows) == list(range(len(windows)))
+        assert end >= packing.FULL * 512 and end <= 512 or end & (end - 1) == 0
+
+
+def test_windows_hold_all_with_little_padding():
+    rng = random.Random(4)
+    ids = lambda n: np.array([rng.randrange(9) for _ in range(n)], "<u4").tobytes()
+    cases = [[rng.randint(1, 40) for _ in range(300)], [33] * 200, [64] * 5, [200, 1, 63, 640], [1] * 1000, [], [5]]
+    for lengths in cases:
+        docs = [(k, ids(n)) for k, n in enumerate(lengths)]
+        for buffer in (1, 200, 5000):
+            windows = list(packing.windows_of(iter(docs), 64, buffer))
+            size = [packing._tokens(w) for w in windows]
+            assert all(64 >= n >= packing.FULL * 64 or n & (n - 1) == 0 for n in size)
+            assert sum(64 - n for n in size if n & (n - 1)) <= (1 - packing.FULL) * sum(size)
+            back = {}
+            for doc, start, n, part in sorted((p for w in windows for p in w), key=lambda p: p[:2]):
+                assert start == len(back.setdefault(doc, b"")) // 4 and n == lengths[doc]
+                back[doc] += part
+            assert back == dict(docs)
+            if buffer == 5000:  # few documents are cut: those longer than a window, and at a task's end
+                cut = [p[0] for w in windows for p in w if len(p[3]) < len(docs[p[0]][1]) <= 256]
+                assert len(set(cut)) <= 16 or lengths == [33] * 200
+
+
+def test_another_tokenizer_goes_whole(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    told = json.load(open(path))
+    assert packing.by_word(json.dumps(told))
+    told["normalizer"]["normalizers"].pop()  # keeps upper case
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(told))
+    assert not packing.by_word(other.read_text()) and not packing.Words(str(other)).by_word
+    df = spark.createDataFrame(list(enumerate(TEXTS[3:10])), "doc_id long, text string")
+    whole = Tokenizer.from_file(str(other))
+    back = {}
+    for r in sorted(packing.pack(df, tokenizer=str(other)).collect(), key=lambda r: r.start):
+        back.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert back == {k: whole.encode(t, add_special_tokens=False).ids + [2] for k, t in enumerate(TEXTS[3:10])}
+    for token in ("word", "a b"):
+        told = json.load(open(path))
+        told["added_tokens"][0]["content"] = token
+        assert not packing.by_word(json.dumps(told))
 
 
 def test_empty_table(spark):
