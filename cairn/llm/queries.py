@@ -43,8 +43,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_table(spark, sf_dir, "documents"))
 
 
+#: Repeated runs of fewer words are stock phrases of a line that clean documents share.
+SPAN_WORDS = 16
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_spans(_table(spark, sf_dir, "documents")).drop("text_key")
+    return remove_repeated_spans(_table(spark, sf_dir, "documents"), words=SPAN_WORDS).drop("text_key")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,11 @@
 """Substring deduplication over sliding spans of sentences.
 
-A span is a run of at least ``least`` consecutive sentences that has ``words`` words,
-so that a run of one-word sentences is none.  Every sentence starts one, the shortest
-from there on, and ends one, the shortest up to there: any sentence of a longer
-repeated run lies in one of these within it, so they cover what all runs cover.
-Besides, a sentence of ``alone`` words or more is a span by itself.
-Spans are hashed and joined globally; in order of (doc_id, position) the first of
-equal spans stays, and sentences covered by any other are removed.
+Every run of at least ``least`` consecutive sentences is a span (with ``words``, only
+runs of so many words).  It is enough to hash, for each sentence, the shortest run from
+it on and the shortest up to it: any sentence of a longer repeated run lies in one of
+these within it, so they cover what all runs cover.  Spans are hashed and joined
+globally; in order of (doc_id, position) the first of equal spans stays, and sentences
+covered by any other are removed.
 
 Counting and finding the first of each hash is an aggregation, which sums up copies
 before its shuffle; only hashes found twice are joined back, and AQE can split that
@@ -26,8 +25,9 @@ from pyspark.sql import functions as F
 
 from cairn.functions.lineage import stash
 from cairn.llm.shingles import mix
+from cairn.llm.workers import arrow_batches, tidy
 
-SENTENCES, WORDS, ALONE = 2, 20, 50
+SENTENCES = 2
 _END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -54,7 +54,7 @@ def segments(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str | None, least: int = SENTENCES, words: int = WORDS, alone: int = ALONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(text: str | None, least: int = SENTENCES, words: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first sentence and end sentence (exclusive) of every span of a text."""
     parts = [text[a:b].strip() for a, b in segments(text)] if text else []
     n = len(parts)
@@ -69,10 +69,8 @@ def spans(text: str | None, least: int = SENTENCES, words: int = WORDS, alone: i
     since = np.minimum(np.searchsorted(size, size[1:] - words, "right") - 1, until - least)
     # those that are the shortest from their start are there already
     new = (since >= 0) & (end[np.maximum(since, 0)] != until)
-    ok, long = end <= n, np.diff(size) >= alone
-    if least == 1:
-        long &= end != until  # else there already
-    start, end = np.r_[start[ok], since[new], start[long]], np.r_[end[ok], until[new], until[long]]
+    ok = end <= n
+    start, end = np.r_[start[ok], since[new]], np.r_[end[ok], until[new]]
     with np.errstate(over="ignore"):
         total = np.r_[np.uint64(0), np.cumsum(mix(h) * _powers(_BASE, n - 1), dtype=np.uint64)]
         value = mix((total[end] - total[start]) * _powers(_INVERSE, n)[start] + (end - start).astype(np.uint64))
@@ -82,13 +80,13 @@ def spans(text: str | None, least: int = SENTENCES, words: int = WORDS, alone: i
 _FOUND = "hash long, doc_id long, text_key long, first int, last int"
 
 
-def _find(least: int, words: int, alone: int):
+def _find(least: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
             hashes, rows, first, last = [], [], [], []
             for k, text in enumerate(batch.column(2)):
-                h, a, b = spans(text.as_py(), least, words, alone)
+                h, a, b = spans(text.as_py(), least, words)
                 hashes.append(h)
                 first.append(a)
                 last.append(b)
@@ -98,7 +96,7 @@ def _find(least: int, words: int, alone: int):
             yield pa.record_batch([cat(hashes, pa.int64()), ids.take(at), keys.take(at), cat(first, pa.int32()), cat(last, pa.int32())],
                                   names=["hash", "doc_id", "text_key", "first", "last"])
 
-    return run
+    return tidy(run)
 
 
 _OUT = "doc_id long, text_key long, n_sentences int, n_removed int, removed_chars long, text string, first_doc_ids array<long>"
@@ -123,17 +121,19 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES,
-                          words: int = WORDS, alone: int = ALONE) -> DataFrame:
+                          words: int = 0) -> DataFrame:
     """Texts without the sentences that a non-first repeated span covers.
 
     One row per input row: ``doc_id, text_key, n_sentences, n_removed, removed_chars,
     text, first_doc_ids`` (where the removed spans stand first).  The first of equal
     spans is that of the smallest (doc_id, text_key, position), null ids last; a span
     that a text repeats itself counts too.  Rows alike in id and text are one document
-    and come out alike.  Null stays null, a text of fewer sentences or words has no spans.
+    and come out alike.  Null stays null, a text of fewer sentences or words has no spans;
+    other columns are not read, and an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    found = stash(rows.select("doc_id", "text_key", "text").mapInArrow(_find(least, words, alone), _FOUND))
+    with arrow_batches(docs.sparkSession):
+        found = stash(rows.select("doc_id", "text_key", "text").mapInArrow(_find(least, words), _FOUND))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "first")
     # written, so that the join below has a plain shuffle on either side and AQE can split it
     first = stash(found.groupBy("hash").agg(F.min(place).alias("of"), F.max(place).alias("to")).where("of != to").select("hash", "of"))
@@ -142,4 +142,4 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.collect_set(F.struct("first", "last")).alias("covered"), F.collect_set("of.doc_id").alias("sources"))
     covered = covered.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "covered", "sources")
     whole = rows.join(covered, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_key == F.col("_key")), "left")
-    return whole.select("doc_id", "text_key", "text", "covered", "sources").mapInArrow(_remove, _OUT)
+    return whole.select("doc_id", "text_key", "text", "covered", "sources").mapInArrow(tidy(_remove), _OUT)

@@ -5,25 +5,19 @@ import random
 from cairn.llm import sentence_spans as s
 
 
-def brute(docs, least=2, words=6, alone=4):
-    """{doc: kept text} with spans as text, the first in (doc, position) staying."""
-    seen, out = {}, {}
-    every = []
+def brute(docs, least=2, words=0):
+    """{doc: kept text}: every run of enough sentences and words is a span, the first in (doc, position) stays."""
+    seen, every = {}, []
     for d, t in sorted(docs):
-        parts = [(t or "")[a:b] for a, b in s.segments(t)]
-        clean = [p.strip() for p in parts]
-        for i in range(len(parts)):
-            j = i + (1 if clean[i].count(" ") + 1 >= alone else least)
-            while j < len(parts) and clean[i].count(" ") + 1 < alone and sum(c.count(" ") + 1 for c in clean[i:j]) < words:
-                j += 1
-            if j <= len(parts) and (clean[i].count(" ") + 1 >= alone or sum(c.count(" ") + 1 for c in clean[i:j]) >= words):
-                every.append((d, i, j, tuple(clean[i:j])))
-    for d, i, j, key in every:
+        clean = [(t or "")[a:b].strip() for a, b in s.segments(t)]
+        n = [c.count(" ") + 1 for c in clean]
+        every += [(d, i, j, tuple(clean[i:j])) for i in range(len(n)) for j in range(i + least, len(n) + 1) if sum(n[i:j]) >= words]
+    for d, i, _, key in every:
         seen.setdefault(key, (d, i))
+    out = {}
     for d, t in docs:
-        parts = [(t or "")[a:b] for a, b in s.segments(t)]
         gone = {k for x, i, j, key in every if x == d and seen[key] != (d, i) for k in range(i, j)}
-        out[d] = None if t is None else "".join(p for k, p in enumerate(parts) if k not in gone)
+        out[d] = None if t is None else "".join(t[a:b] for k, (a, b) in enumerate(s.segments(t)) if k not in gone)
     return out
 
 
@@ -38,7 +32,7 @@ def test_matches_brute_force(spark):
     docs = [(i, rng.choice([" ", "\n"]).join(rng.choices(pool, k=rng.randint(0, 9)))) for i in range(60)]
     docs += [(60, None), (61, ""), (62, docs[3][1]), (63, "\n".join([docs[3][1]] * 2))]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, first int")
-    got = {r.doc_id: r for r in s.remove_repeated_spans(df, least=2, words=6, alone=4).collect()}
+    got = {r.doc_id: r for r in s.remove_repeated_spans(df).collect()}
     want = brute(docs)
     assert {d: r.text for d, r in got.items()} == want
     assert all((r.n_removed > 0) == (r.text != dict(docs)[d]) for d, r in got.items())
@@ -48,28 +42,11 @@ def test_matches_brute_force(spark):
 def test_repeated_rows_and_null_ids(spark):
     text = "One two three. Four five six. Seven eight nine."
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None)], "doc_id long, text string")
-    rows = s.remove_repeated_spans(df, words=5).collect()
+    rows = s.remove_repeated_spans(df).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (0, 3), (1, 0), (1, 0)]
     assert s.remove_repeated_spans(df.limit(0)).count() == 0
 
 
-def brute_all(docs, least, words, alone):
-    """{doc: kept text}: every run is a span if it has the sentences and words, or is one long sentence."""
-    seen, every = {}, []
-    for d, t in sorted(docs):
-        clean = [(t or "")[a:b].strip() for a, b in s.segments(t)]
-        n = [c.count(" ") + 1 for c in clean]
-        runs = [(i, j) for i in range(len(n)) for j in range(i + 1, len(n) + 1) if j - i >= least and sum(n[i:j]) >= words or j - i == 1 and n[i] >= alone]
-        every += [(d, i, j, tuple(clean[i:j])) for i, j in runs]
-    for d, i, _, key in every:
-        seen.setdefault(key, (d, i))
-    out = {}
-    for d, t in docs:
-        gone = {k for x, i, j, key in every if x == d and seen[key] != (d, i) for k in range(i, j)}
-        out[d] = None if t is None else "".join(t[a:b] for k, (a, b) in enumerate(s.segments(t)) if k not in gone)
-    return out
-
-
 def words_of(tag, n):
     return " ".join(f"{tag}{k}" for k in range(n)) + ". "
 
@@ -79,35 +56,21 @@ def kept(spark, docs, **how):
     return {r.doc_id: r.text for r in s.remove_repeated_spans(df, **how).collect()}
 
 
-def test_all_runs_without_long_sentences(spark):
+def test_all_runs(spark):
     rng = random.Random(6)
-    pool = [" ".join(rng.choices("alpha beta gamma delta".split(), k=rng.randint(1, 4))) + "." for _ in range(30)]
-    docs = [(i, " ".join(rng.choices(pool, k=rng.randint(0, 12)))) for i in range(80)]
-    docs += [(100 + i, " ".join(rng.choices(pool, k=2)) + " " + docs[i][1] + " " + " ".join(rng.choices(pool, k=2))) for i in range(40)]
-    assert kept(spark, docs, least=2, words=6, alone=99) == brute_all(docs, 2, 6, 99)
-    assert kept(spark, docs, least=3, words=7, alone=99) == brute_all(docs, 3, 7, 99)
-
-
-def test_tail_of_a_repeated_passage_goes(spark):
-    passage = "".join(words_of(t, n) for t, n in (("a", 25), ("b", 25), ("c", 5), ("d", 5)))
-    docs = [(k, f"Head of text {k}. {passage}{words_of(f'tail{k}x', 30)}") for k in (1, 2)]
-    assert kept(spark, docs) == {1: docs[0][1], 2: f"Head of text 2. {words_of('tail2x', 30)}"}
-
-
-def test_all_runs_and_long_sentences(spark):
-    rng = random.Random(7)
-    pool = [" ".join(rng.choices("alpha beta gamma delta".split(), k=rng.randint(1, 6))) + "." for _ in range(30)]
+    pool = [" ".join(rng.choices("alpha beta gamma delta".split(), k=rng.randint(1, 5))) + "." for _ in range(30)]
     docs = [(i, " ".join(rng.choices(pool, k=rng.randint(0, 12)))) for i in range(80)]
     docs += [(100 + i, " ".join(rng.choices(pool, k=2)) + " " + docs[i][1] + " " + " ".join(rng.choices(pool, k=2))) for i in range(40)]
-    for least in (1, 2, 3):
-        assert kept(spark, docs, least=least, words=8, alone=5) == brute_all(docs, least, 8, 5)
+    for least, words in ((2, 0), (2, 6), (3, 0), (3, 9), (1, 0), (1, 4)):
+        assert kept(spark, docs, least=least, words=words) == brute(docs, least, words)
 
 
-def test_runs_from_a_long_sentence_go_whole(spark):
-    pair, three = words_of("a", 60) + words_of("b", 30), words_of("a", 60) + words_of("b", 5) + words_of("c", 5)
-    for run, least in ((pair, 2), (three, 3)):
-        docs = [(k, f"Head of text {k}. {run}{words_of(f'tail{k}x', 30)}") for k in (1, 2)]
-        assert kept(spark, docs, least=least) == {1: docs[0][1], 2: f"Head of text 2. {words_of('tail2x', 30)}"}
-    # the lone sentence still goes where what follows differs
+def test_whole_passages_go(spark):
+    for passage in ("".join(words_of(t, n) for t, n in (("a", 25), ("b", 25), ("c", 5), ("d", 5))), words_of("a", 15) + words_of("b", 10) + words_of("c", 5),
+                    words_of("a", 9) + words_of("b", 9), words_of("a", 60) + words_of("b", 30)):
+        docs = [(k, f"Head of text {k}. {passage}{words_of(f'tail{k}x', 30)}") for k in (1, 2)]
+        for words in (0, 16):
+            assert kept(spark, docs, words=words) == {1: docs[0][1], 2: f"Head of text 2. {words_of('tail2x', 30)}"}
+    # one sentence is no run
     docs = [(k, words_of("a", 60) + words_of(f"tail{k}x", 30)) for k in (1, 2)]
-    assert kept(spark, docs)[2] == words_of("tail2x", 30)
+    assert kept(spark, docs) == dict(docs)
