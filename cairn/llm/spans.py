@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.names import prefix
+
 SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
@@ -21,19 +23,38 @@ def find_spans(df: DataFrame, out: str, text: str, pattern: str, gate: Column |
     wherever a match can be) spares texts the first.  ``text`` must not be null.
     """
     gate = F.lit(True) if gate is None else gate
-    df = df.withColumn("__m", F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-    df = df.withColumn("__p", F.when(F.size("__m") > 0, F.split(text, pattern, -1)))
-    pairs = F.zip_with(F.slice("__p", F.lit(1), F.size("__m")), "__m", lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), _empty().alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["match"])
-        span = F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    spans = F.when(F.size("__m") > 0, F.aggregate(pairs, start, step)["spans"]).otherwise(_empty())
-    return df.withColumn(out, spans).drop("__m", "__p")
+    p = prefix(df)
+    matches, pieces, steps = f"{p}m", f"{p}p", f"{p}s"
+    df = df.withColumn(matches, F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    df = df.withColumn(pieces, F.when(F.size(matches) > 0, F.split(text, pattern, -1)))
+    df = df.withColumn(steps, F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.length(p) + F.length(m)))
+    spans = F.zip_with(running_sums(steps), matches, lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match")))
+    return df.withColumn(out, F.when(F.size(matches) > 0, spans).otherwise(_empty())).drop(matches, pieces, steps)
+
+
+#: Items that are summed up one by one; longer arrays go by blocks of so many.
+_BLOCK = 64
+
+
+def running_sums(steps: str) -> Column:
+    """Sums up to each item of a column of int arrays (not an expression: lambdas would evaluate it anew).
+
+    An array grows by copying, so sums are taken by blocks, each from the total of those
+    before it: n items copy about n^2 / 64 numbers, not n^2.
+    """
+    items = F.col(steps)
+
+    def sums(part: Column, at: Column) -> Column:
+        return F.aggregate(part, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(
+            F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(at) + x)))
+
+    def step(acc: Column, first: Column) -> Column:
+        part = F.slice(items, first, F.lit(_BLOCK))
+        return F.struct(F.aggregate(part, acc["at"], lambda a, x: a + x).alias("at"), F.concat(acc["sums"], F.array(sums(part, acc["at"]))).alias("sums"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("sums"))
+    firsts = F.sequence(F.lit(1), F.size(items), F.lit(_BLOCK))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(firsts, start, step)["sums"])).otherwise(F.array().cast("array<int>"))
 
 
 def tagged(spans: Column, kind: str, rank: int, rank_first: bool) -> Column:

@@ -26,14 +26,25 @@ def plain_entropy(text, base):
     covered = set()
     for cls in secrets.CLASSES:
         for m in re.finditer(cls.pattern, text):
-            c = m[0]
-            if any(re.search(p, c) for p in secrets.ALLOWED):
+            c, mine = m[0], set()
+            if allowed(c):
                 continue
             for i in range(len(c) - cls.window + 1):
                 w = c[i:i + cls.window]
                 h = -sum(w.count(x) / cls.window * math.log2(w.count(x) / cls.window) for x in set(w))
                 if h >= cls.floor:
-                    covered |= set(range(m.start() + i, m.start() + i + cls.window))
+                    mine |= set(range(m.start() + i, m.start() + i + cls.window))
+            for a, b in runs_of(mine):
+                if not allowed(text[a:b]):
+                    covered |= set(range(a, b))
+    return [(a, 3, b, "entropy") for a, b in runs_of(covered) if not any(s < b and a < e for s, _, e, _ in base)]
+
+
+def allowed(string):
+    return any(re.search(p, string) for p in secrets.ALLOWED) or any(string in a for a in secrets.IN_ORDER)
+
+
+def runs_of(covered):
     runs, start = [], None
     for k in sorted(covered):
         if start is None or k != prev + 1:
@@ -43,7 +54,7 @@ def plain_entropy(text, base):
         prev = k
     if start is not None:
         runs.append((start, prev + 1))
-    return [(a, 3, b, "entropy") for a, b in runs if not any(s < b and a < e for s, _, e, _ in base)]
+    return runs
 
 
 TEXTS = [
@@ -67,6 +78,42 @@ def test_spans_match_plain_scan(spark):
         assert [tuple(s) for s in got[i].secret_spans] == every, text
 
 
+KEY = "Zq3xV9bT7nLp2WcR8mKdY4sHf6JgA1uE"
+
+
+def spans_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [(s.start, s.end) for s in r.secret_spans if s.kind == "entropy"] for r in secrets.scan_secrets(df).collect()}
+
+
+def test_allow_list_is_of_whole_forms(spark):
+    letters = "qZxWvUjKpLmNbGtRfEdCsYhAoIuP"
+    harmless = ["src/main/resources/configuration/application-development", "getUserAccountInformationFromDatabase", "550e8400-e29b-41d4-a716-446655440000",
+                "2024-01-02_10-20-30/0001/0002/0003", "your-example-placeholder-token-goes-here", "0123456789abcdefghijklmnopqrstuvwxyz", "THE_QUICK_BROWN_FOX_JUMPS_OVER_LAZY_DOG"]
+    found = spans_of(spark, [KEY * 3, KEY + "example" + KEY * 2, letters, "/your-app/" + KEY, *harmless])
+    assert all(found[k] for k in range(4)) and not any(found[4 + k] for k in range(len(harmless)))
+    assert found[1][0] == (0, 103)
+
+
+def test_many_matches_in_one_text(spark):
+    text = "x token=abcdefgh " * 700
+    row = spans_base(spark, text)
+    assert row == plain_base(text) and len(row) == 700
+
+
+def spans_base(spark, text):
+    return [tuple(s) for s in secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().secret_base]
+
+
+def test_clashing_names(spark):
+    names = ["__t", "__assign", "__c", "__e", "__m", "__p", "__new", "__secret_spans", "secret_base"]
+    df = spark.createDataFrame([(1, "token=abcdefgh", *range(len(names)))], ["doc_id", "text", *names])
+    row = secrets.redact_secrets(df).first()
+    assert row.text == "<SECRET>" and [row[n] for n in names] == list(range(len(names)))
+    kept = secrets.scan_secrets(df).first()
+    assert [kept[n] for n in names[:-1]] == list(range(len(names) - 1)) and kept.secret_base[0].kind == "assign"
+
+
 def test_digest(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh"), (None, None), (1, "token=abcdefgh")], "doc_id long, text string")
     rows = secrets.secret_digest(df).collect()
