@@ -3,8 +3,8 @@
 Every stage takes all that its predecessor kept; all but the last return the columns
 of ``documents``.  No part of it is SQL: model fitting and tokenization are not.
 
-Rows with null or empty texts pass every stage and end as a piece of the end id alone;
-null ids, languages and sources are values like others; rows repeated in id and text
+Rows with null or empty texts pass every stage but the mixture, which reads none of a
+leaf without words, and end as a piece of the end id alone; null ids, languages and sources are values like others; rows repeated in id and text
 are one document from the second stage on; ties fall as each operator's docstring says;
 further columns are carried to the last stage, whatever their names; an empty table
 gives no rows.
