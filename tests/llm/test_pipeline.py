@@ -52,7 +52,7 @@ def test_odd_rows(spark, tmp_path):
         before, now = now.count(), stage(spark, now, str(tmp_path)).cache()
         assert now.columns == docs.columns and all(tuple(r)[5:] == tuple(range(len(names))) for r in now.collect()), name
         assert now.count() == (before - 1 if name == "n-gram Jaccard join" else before) or name.startswith("mixing")
-    assert corpus_pipeline.run(spark, str(tmp_path)).where("doc_id = 3").count() == 1
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r.doc_id for r in now.collect()}
     docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
     spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
