@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.functions.bounded import broadcast_if_small
 from cairn.functions.geometry import squared_distance
-from cairn.functions.lineage import stash
+from cairn.functions.lineage import settle, stash
 
 OFFSETS = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 POINT_KEY = ("scene_id", "point_id")
@@ -54,19 +55,46 @@ def hybrid_neighbours(points: DataFrame, radius: float, most: int) -> DataFrame:
     return radius_pairs(points, radius).withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= most)
 
 
+#: Halvings of a scene's extent among which its first radius is found.
+HALVINGS = 20
+
+
+def _first_radius(at: DataFrame, k: int) -> DataFrame:
+    """(scene_id, n, radius): the least width, by halving the extent, at which occupied cells hold (k + 1) / 4 points on average.
+
+    Counting occupied cells tells how dense points lie where there are any, so stray
+    points, which stretch the extent, do not widen the radius.
+    """
+    span = F.greatest(*[F.max(c) - F.min(c) for c in "xyz"], F.lit(1e-9))
+    scenes = at.groupBy("scene_id").agg(F.count("*").alias("n"), span.alias("extent"), *[F.min(c).alias(f"{c}0") for c in "xyz"])
+    scenes = broadcast_if_small(stash(scenes))
+    width = lambda h: F.col("extent") / F.lit(float(1 << h))
+    cell = lambda h: F.xxhash64(*[F.floor((F.col(c) - F.col(f"{c}0")) / width(h)) for c in "xyz"])
+    used = at.join(scenes, "scene_id").groupBy("scene_id", "n", "extent").agg(*[F.approx_count_distinct(cell(h)).alias(f"u{h}") for h in range(1, HALVINGS + 1)])
+    radius = F.col("extent")
+    for h in range(1, HALVINGS + 1):
+        radius = F.when(F.col("n") >= F.lit((k + 1) / 4) * F.col(f"u{h}"), width(h)).otherwise(radius)
+    return used.select("scene_id", "n", radius.alias("radius"))
+
+
 def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
     """Exact k nearest other points: (scene_id, point_id, nbr_id, d2, rank from 1), ties to the smaller id.
 
-    The radius starts from the scene's density and doubles for the points that have not
-    found k neighbours within it; a point whose scene has fewer gets all there are.
+    The radius starts from how dense the scene's points lie, and grows for the points that
+    have not found k neighbours within it; a point whose scene has fewer gets all there
+    are.  Rows that share an id are one point at several places: none is a neighbour of
+    the others, and as a neighbour it is met at each of them.
     """
+    return settle(points.sparkSession, lambda: _nearest(points, k))
+
+
+def _nearest(points: DataFrame, k: int) -> DataFrame:
     at = stash(points.select(*POINT_KEY, "x", "y", "z"))
-    extent = F.greatest(*[F.max(c) - F.min(c) for c in "xyz"])
-    scenes = at.groupBy("scene_id").agg(F.count("*").alias("n"), F.greatest(extent, F.lit(1e-9)).alias("extent"))
-    start = F.col("extent") * F.pow(F.lit(k + 1.0) / F.col("n"), 1 / 3)
-    scenes = scenes.select("scene_id", "extent", F.least(start, F.col("extent")).alias("radius"), F.least(F.col("n") - 1, F.lit(k)).alias("want"))
-    at = stash(at.join(scenes, "scene_id"))
-    left, done, factor = at, [], 1.0
+    scenes = broadcast_if_small(stash(_first_radius(at, k)))
+    same = at.groupBy(*POINT_KEY).agg(F.count("*").alias("same"))
+    at = stash(at.join(scenes, "scene_id").join(same, list(POINT_KEY)).select(
+        *POINT_KEY, "x", "y", "z", "radius", F.least(F.col("n") - F.col("same"), F.lit(k)).alias("want")))
+    left, done, factor = at.where("want > 0"), [], 1.0
     by_distance = W.partitionBy(*POINT_KEY).orderBy("d2", "nbr_id")
     while True:
         radius = F.col("radius") * F.lit(factor)
@@ -74,10 +102,10 @@ def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
         met = stash(met.select(*POINT_KEY, "nbr_id", "d2", "rank", "want"))
         full = met.where("rank = want").select(*POINT_KEY)
         done.append(met.join(full, list(POINT_KEY), "left_semi").drop("want"))
-        left = stash(left.where("want > 0").join(full, list(POINT_KEY), "left_anti"))
+        left = stash(left.join(full, list(POINT_KEY), "left_anti"))
         if left.isEmpty():
             break
-        factor *= 2
+        factor *= 2 if factor == 1 else 4  # few are left now, mostly far from all others
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

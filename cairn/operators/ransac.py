@@ -14,26 +14,33 @@ from cairn.operators.dbscan import largest_component
 from cairn.operators.neighbours import POINT_KEY
 from cairn.operators.summaries import plane_summary
 
-#: Modulus and multiplier of the sampling order (whole numbers, portable to any SQL engine).
-MODULUS, MULTIPLIER = 2147483647, 48271
+#: Modulus and multiplier of the sampling order (whole numbers, portable to any SQL engine);
+#: what the seed moves by when a scene's points are ordered again.
+MODULUS, MULTIPLIER, AGAIN = 2147483647, 48271, 7919
 
 
-def sample_order(seed: int) -> Column:
+def sample_order(seed: int | Column) -> Column:
     """Rank key of a point: the square keeps seeds from being rotations of one another."""
-    h = (F.col("point_id") * MULTIPLIER + seed) % MODULUS
-    return (h * h + F.col("point_id")) % MODULUS
+    point = F.pmod(F.col("point_id").cast("long"), F.lit(MODULUS).cast("long"))  # small enough to multiply
+    h = (point * MULTIPLIER + seed) % MODULUS
+    return (h * h + point) % MODULUS
 
 
 def hypotheses(points: DataFrame, iterations: int, seed: int = 0) -> DataFrame:
     """(scene_id, hypothesis, model): planes through consecutive triples of the sampling order.
 
     Only the first 3 * iterations points of each scene are ranked (a group limit before
-    the shuffle); collinear triples are left out.
+    the shuffle).  A scene of fewer points is ordered again, each time with another seed,
+    until it has as many triples.  Collinear triples are left out.
     """
-    order = W.partitionBy("scene_id").orderBy(sample_order(seed), "point_id")
-    drawn = points.select(*POINT_KEY, "x", "y", "z").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= 3 * iterations)
+    sizes = small_table(points.groupBy("scene_id").agg(F.floor(F.count("*") / 3).cast("int").alias("triples")).where("triples > 0"))
+    turns = F.least(F.ceil(F.lit(iterations) / F.col("triples")).cast("int"), F.lit(iterations))
+    dealt = points.select(*POINT_KEY, "x", "y", "z").join(sizes, "scene_id").withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1)))
+    order = W.partitionBy("scene_id", "turn").orderBy(sample_order(F.lit(seed) + F.col("turn") * AGAIN), "point_id")
+    drawn = dealt.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= 3 * iterations).where("rn <= 3 * triples")
+    drawn = drawn.withColumn("hypothesis", F.col("turn") * F.col("triples") + F.floor((F.col("rn") - 1) / 3).cast("int")).where(F.col("hypothesis") < iterations)
     at = ((F.col("rn") - 1) % 3).alias("at")
-    triple = drawn.groupBy("scene_id", F.floor((F.col("rn") - 1) / 3).cast("int").alias("hypothesis")).agg(
+    triple = drawn.groupBy("scene_id", "hypothesis").agg(
         F.count("*").alias("n"), *[F.max(F.when(at == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in "xyz"]).where("n = 3")
     p, q, r = ([F.col(f"{c}{k}") for c in "xyz"] for k in range(3))
     n = cross([b - a for a, b in zip(p, q)], [b - a for a, b in zip(p, r)])
@@ -81,41 +88,39 @@ def extract_planes(points: DataFrame, config: Ransac | None = None) -> tuple[Dat
     """Plane after plane from each scene: (planes, members, residual).
 
     A round in every scene that is still going: stop at fewer than max(remaining, 3)
-    points; fit; stop if the plane has fewer than ``min_plane_size`` inliers; keep the
-    inliers' largest component; take *all* inliers off the residual; emit.  ``planes``
-    also counts what the refinement drops (``n_dropped``).  The driver learns one number
-    a round: whether any scene goes on.
+    points; fit; stop if the plane has fewer than ``min_plane_size`` inliers; take *all*
+    inliers off the residual.  After the rounds, the largest component of each plane's
+    inliers is kept, of all planes in one clustering; ``planes`` also counts what that
+    drops (``n_dropped``).  The driver learns one number a round: whether any scene goes on.
     """
     config = config or Ransac()
     residual = stash(points)
     going = residual.select("scene_id").distinct()
     least = max(config.remaining_points_min, 3)
-    planes, members = [], []
+    planes, inlying = [], []
     for k in range(config.max_planes):
         sizes = residual.join(going, "scene_id", "left_semi").groupBy("scene_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        going = stash(sizes.select("scene_id"))
-        if going.isEmpty():
-            break
-        active = residual.join(broadcast_if_small(going), "scene_id", "left_semi")
+        active = residual.join(small_table(sizes.select("scene_id")), "scene_id", "left_semi")
         best = best_planes(active, config.distance_threshold, config.num_iterations, config.seed + k)
         best = stash(best.where(F.col("n_inliers") >= config.min_plane_size))
         if best.isEmpty():
             break
         going = best.select("scene_id")
         hit = stash(inliers(active, best, config.distance_threshold))
-        kept = stash(largest_component(hit, 5 * config.distance_threshold, 10).withColumn("plane_id", F.lit(k)))
         residual = stash(take_rest(residual, hit))
         planes.append(best.withColumn("plane_id", F.lit(k)))
-        members.append(kept)
+        inlying.append(hit.withColumn("plane_id", F.lit(k)))
     spark = points.sparkSession
     if not planes:
         from cairn.schemas import PLANE
 
         none = spark.createDataFrame([], PLANE).withColumn("n_dropped", F.lit(0).cast("bigint"))
         return none, points.limit(0).withColumn("plane_id", F.lit(0)), residual
-    found, owned = planes[0], members[0]
-    for p, m in zip(planes[1:], members[1:]):
-        found, owned = found.unionByName(p), owned.unionByName(m)
+    found, hits = planes[0], inlying[0]
+    for p, m in zip(planes[1:], inlying[1:]):
+        found, hits = found.unionByName(p), hits.unionByName(m)
+    apart = hits.withColumn("home", F.col("scene_id")).withColumn("scene_id", F.concat_ws(":", "plane_id", "scene_id"))
+    owned = stash(largest_component(apart, 5 * config.distance_threshold, 10).withColumn("scene_id", F.col("home")).drop("home"))
     told = found.join(plane_summary(owned), ["scene_id", "plane_id"]).select(
         "scene_id", "plane_id", F.lit("unknown").alias("label"), "inlier_count", "centroid_z", F.slice("model", 1, 3).alias("normal"),
         F.col("model").alias("plane_model"), (F.col("n_inliers") - F.col("inlier_count")).alias("n_dropped"))

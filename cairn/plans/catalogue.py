@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.config import Dbscan, Labeling, Ransac, RegionGrowing
-from cairn.functions.colours import LABEL_COLOURS, colorize
+from cairn.functions.colours import LABEL_COLOURS, MAP_COLOURS, colorize
 from cairn.functions.geometry import plane_distance, vector
+from cairn.functions.lineage import shared_dir
 from cairn.operators import dbscan as density
 from cairn.operators import evaluate as scores
 from cairn.operators import labels, neighbours, normals, objects, outliers, ransac, region_growing, stats, summaries, voxel
+from cairn.plans import geometry_sql as geo
 from cairn.plans import views
 from cairn.sinks import writers
-from cairn.sources import synthetic
+from cairn.sources import synthetic, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -258,6 +260,17 @@ def topdown_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("cluster_id", "x", "y", "width", "depth", near("text_x").alias("text_x"), near("text_y").alias("text_y"), "label")
 
 
+_MAP_CHANNELS = ", ".join("CASE label " + " ".join(f"WHEN '{k}' THEN {v[i]}::DOUBLE" for k, v in MAP_COLOURS.items()) + f" ELSE {MAP_COLOURS['unknown'][i]}::DOUBLE END AS {c}"
+                          for i, c in enumerate("rgb"))
+
+
+@query(f"{views.with_views('pairs')} SELECT position AS cluster_id, true_label AS label, {_MAP_CHANNELS.replace('CASE label', 'CASE true_label')} FROM pairs")
+def map_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels in the colours of the map, where walls are darker."""
+    rows = views.label_pairs(spark, sf_dir).select(F.col("position").alias("cluster_id"), F.col("true_label").alias("label"))
+    return colorize(rows, colours=MAP_COLOURS)
+
+
 # ---- index sets and unions
 
 def _near_plane(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -320,6 +333,31 @@ def console_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.report(views.label_pairs(spark, sf_dir)).select("label", "support")
 
 
+@query(f"{views.with_views('pairs')} SELECT position, true_label, pred_label FROM pairs WHERE position % 11 <> 0 AND position % 13 <> 0")
+def zip_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True and predicted labels of the positions that both tables have."""
+    pairs = views.label_pairs(spark, sf_dir)
+    side = lambda label, skip: pairs.where(F.col("position") % skip != 0).select("position", F.col(label).alias("label"))
+    return scores.zip_labels(side("true_label", 11), side("pred_label", 13))
+
+
+@query(f"{views.with_views('pairs')}, {_LABELS}, {_KNOWN}, s AS (SELECT label, (SELECT count(*) FROM known WHERE true_label = label AND pred_label = label) AS tp, "
+       "(SELECT count(*) FROM known WHERE true_label = label) AS support, (SELECT count(*) FROM known WHERE pred_label = label) AS predicted FROM labels) "
+       "SELECT 'accuracy' AS score, NULL AS label, NULL AS other, round(sum((true_label = pred_label)::BIGINT) / count(*)::DOUBLE, 4) AS value FROM pairs "
+       "UNION ALL SELECT 'precision', label, NULL, round(CASE WHEN predicted > 0 THEN tp / predicted::DOUBLE ELSE 0.0 END::DOUBLE, 4) FROM s "
+       "UNION ALL SELECT 'recall', label, NULL, round(CASE WHEN support > 0 THEN tp / support::DOUBLE ELSE 0.0 END::DOUBLE, 4) FROM s "
+       "UNION ALL SELECT 'pairs', t.label, p.label, count(k.position)::DOUBLE FROM labels t CROSS JOIN labels p LEFT JOIN known k ON k.true_label = t.label AND k.pred_label = p.label GROUP BY 2, 3")
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole bundle of scores as rows."""
+    found = scores.evaluate(views.label_pairs(spark, sf_dir))
+    none = F.lit(None).cast("string")
+    row = lambda df, score, label, other, value: df.select(F.lit(score).alias("score"), label.alias("label"), other.alias("other"), value.cast("double").alias("value"))
+    out = row(found["accuracy"], "accuracy", none, none, F.col("accuracy"))
+    for name in ("precision", "recall"):
+        out = out.union(row(found["per_class"], name, F.col("label"), none, F.col(name)))
+    return out.union(row(found["confusion_matrix"], "pairs", F.col("true_label"), F.col("pred_label"), F.col("n")))
+
+
 # ---- neighbourhoods
 
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
@@ -422,42 +460,72 @@ def ransac_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("hypothesis", "n_inliers", *_flat("model", ("a", "b", "c", "d"), 6))
 
 
-@query()
+_PLANES = Ransac(distance_threshold=DISTANCE, min_plane_size=50, remaining_points_min=50)
+
+
+@query(f"{views.with_views('room')}, {_VOXELS}, cells AS (SELECT vx * 1000000 + vy * 1000 + vz AS point_id, x, y, z FROM voxels), "
+       + geo.planes_of("cells", _PLANES.max_planes, _PLANES.num_iterations, DISTANCE, _PLANES.min_plane_size, _PLANES.remaining_points_min, _PLANES.seed,
+                       ransac.MODULUS, ransac.MULTIPLIER, ransac.AGAIN)
+       + f" SELECT plane_id, inlier_count, n_dropped, {_round('centroid_z')} AS centroid_z, " + ", ".join(f"{_round(c)} AS {c}" for c in "abcd") + " FROM planes")
 def iterative_ransac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planes of the voxelised room; a loop with a stop test has no SQL."""
+    """Planes of the voxelised room, with the default rounds and hypotheses."""
     small = voxel.voxel_downsample(views.room(spark, sf_dir), VOXEL)
-    config = Ransac(distance_threshold=0.02, num_iterations=100, min_plane_size=50, max_planes=3, remaining_points_min=50)
     unique = small.withColumn("point_id", F.col("vx") * 1_000_000 + F.col("vy") * 1000 + F.col("vz"))
-    planes = ransac.extract_planes(unique, config)[0]
+    planes = ransac.extract_planes(unique, _PLANES)[0]
     return planes.select("plane_id", "inlier_count", "n_dropped", near("centroid_z").alias("centroid_z"), *_flat("plane_model", ("a", "b", "c", "d"), 6))
 
 
-# ---- normals, boxes, regions (eigenvectors and greedy fills have no SQL)
+# ---- normals, boxes, regions
+
+NORMAL_RADIUS, NORMAL_MOST, BEND_K = 0.15, 30, 10
+_NORMALS = f"{views.with_views('embedded')}, {geo.normals('embedded', NORMAL_RADIUS, NORMAL_MOST)}"
+
 
 def _with_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normals.estimate_normals(views.embedded(spark, sf_dir), 0.15, 30)
+    return normals.estimate_normals(views.embedded(spark, sf_dir), NORMAL_RADIUS, NORMAL_MOST)
 
 
-@query()
+@query(f"{_NORMALS} SELECT point_id, " + ", ".join(f"{_round(f'n{c}', 5)} AS n{c}" for c in "xyz") + " FROM normals")
 def surface_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_normals(spark, sf_dir).select("point_id", *[near(f"n{c}", 5).alias(f"n{c}") for c in "xyz"])
 
 
-@query()
+@query(f"{_NORMALS}, {geo.nearest(BEND_K - 1)}, {geo.curvature('embedded')} SELECT point_id, {_round('curvature', 5)} AS curvature FROM bent")
 def curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normals.curvature(_with_normals(spark, sf_dir), 10).select("point_id", near("curvature", 5).alias("curvature"))
+    return normals.curvature(_with_normals(spark, sf_dir), BEND_K).select("point_id", near("curvature", 5).alias("curvature"))
+
+
+def _boxes_sql() -> str:
+    def turned(k: int, out: str) -> str:
+        x, y, z = (f"v{k}{c}" for c in "xyz")
+        lead = f"CASE WHEN abs({x}) >= abs({y}) AND abs({x}) >= abs({z}) THEN {x} WHEN abs({y}) >= abs({z}) THEN {y} ELSE {z} END"
+        return ", ".join(f"CASE WHEN {lead} < 0 THEN -{v} ELSE {v} END AS {out}{c}" for v, c in zip((x, y, z), "xyz"))
 
+    along = lambda n: f"m.x * {n}x + m.y * {n}y + m.z * {n}z"
+    span = lambda n: f"max({along(n)}) - min({along(n)})"
+    plain = lambda c: f"max(m.{c}) - min(m.{c})"
+    return (f"{views.with_views('embedded')}, spread AS (SELECT label, count(*) AS n, {geo.covariances('x', 'y', 'z')} FROM embedded GROUP BY label), {geo.eigenvectors('spread', 'frame')}, "
+            f"two AS (SELECT label, n, {turned(2, 'a')}, {turned(1, 'b')} FROM frame), "
+            "three AS (SELECT *, ay * bz - az * by_ AS cx, az * bx - ax * bz AS cy, ax * by_ - ay * bx AS cz FROM (SELECT * RENAME (\"by\" AS by_) FROM two)) "
+            "SELECT label AS cluster_id, " + ", ".join(f"{_round(f'CASE WHEN any_value(n) >= 4 THEN {span(n)} ELSE {plain(c)} END', 5)} AS e{k}"
+                                                       for k, (n, c) in enumerate((("a", "x"), ("b", "y"), ("c", "z"))))
+            + f", {_round('CASE WHEN any_value(n) >= 4 THEN degrees(atan2(any_value(ay), any_value(ax))) ELSE 0 END', 3)} AS yaw FROM embedded m JOIN three USING (label) GROUP BY label"
+            ).replace("m.y * by +", "m.y * by_ +")
 
-@query()
+
+@query(_boxes_sql())
 def oriented_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = summaries.oriented_boxes(views.embedded(spark, sf_dir).withColumnRenamed("label", "cluster_id"))
     return found.select("cluster_id", *_flat("obb_extent", ("e0", "e1", "e2"), 5), near("obb_rotation_deg", 3).alias("yaw"))
 
 
 _GROWING = RegionGrowing(angle_threshold_deg=20.0, curvature_threshold=0.2, min_region_size=5, k_neighbours=10)
+_BENT = f"{_NORMALS}, {geo.nearest(_GROWING.k_neighbours - 1)}, {geo.curvature('embedded')}"
 
 
-@query()
+@query(f"{_BENT}, {geo.fill(_GROWING.angle_threshold_deg, _GROWING.curvature_threshold, _GROWING.min_region_size, _GROWING.max_regions)} "
+       f"SELECT region_id, count(*) AS n_points, {_round('median(z)')} AS centroid_z, "
+       + ", ".join(f"{_round(f'max({c}) - min({c})')} AS {d}" for c, d in zip("xyz", _DIMS)) + " FROM filled JOIN embedded USING (point_id) GROUP BY region_id")
 def region_growing_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     cloud = _with_normals(spark, sf_dir)
     grown = region_growing.grow_regions(cloud, _GROWING).where("region_id >= 0")
@@ -465,22 +533,70 @@ def region_growing_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("region_id", "n_points", near("centroid_z").alias("centroid_z"), *_flat("dims", _DIMS, 6))
 
 
-@query()
+@query(f"{_NORMALS}, {geo.nearest(_GROWING.k_neighbours - 1)}, smooth AS (SELECT point_id AS a, nbr_id AS b FROM nearest WHERE alike >= cos(radians({_GROWING.angle_threshold_deg}::DOUBLE))), "
+       f"{geo.components('smooth', 'embedded')} SELECT root, count(*) AS n_points FROM roots GROUP BY root")
 def smooth_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_growing.smooth_regions(_with_normals(spark, sf_dir), _GROWING).groupBy("root").agg(F.count("*").alias("n_points"))
 
 
-@query()
+# ---- synthetic rooms: random, so counts, and that all points lie in the room (noise: in its cube), are fixed
+
+_ROOM, _DENSITY_OF_ROOM, _STRAY = (5.0, 6.0, 3.0), 10_000, 500
+
+
+def _room_sql(surfaces: dict[str, int]) -> str:
+    parts = surfaces | {name: n for name, n, *_ in (*synthetic.FURNITURE, synthetic.LAMP)} | {"noise": _STRAY}
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {n}::BIGINT, {n}::BIGINT)" for p, n in parts.items()) + ") t(part, n_points, n_inside)"
+
+
+def _room_parts(room: DataFrame) -> DataFrame:
+    inside = F.lit(True)
+    for c, size in zip("xyz", _ROOM):
+        inside = inside & F.col(c).between(-0.1, F.when(F.col("part") == "noise", max(_ROOM)).otherwise(size) + 0.1)
+    return room.groupBy("part").agg(F.count("*").alias("n_points"), F.count_if(inside).alias("n_inside"))
+
+
+@query(_room_sql({"floor": _DENSITY_OF_ROOM, "ceiling": _DENSITY_OF_ROOM, "wall": 4 * _DENSITY_OF_ROOM}))
 def synthetic_room(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of each part of a generated room; random, so only counts are fixed."""
-    return synthetic.synthetic_room(spark).groupBy("part").agg(F.count("*").alias("n_points"))
+    """Points of each part of a generated room."""
+    return _room_parts(synthetic.synthetic_room(spark))
+
+
+@query(_room_sql({"floor": 3 * _DENSITY_OF_ROOM // 2, "ceiling": 3 * _DENSITY_OF_ROOM // 2, "wall": 3 * _DENSITY_OF_ROOM + 3 * _DENSITY_OF_ROOM // 2}))
+def synthetic_l_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of each part of a generated L-shaped room."""
+    return _room_parts(synthetic.synthetic_room(spark, layout="l-shaped"))
+
+
+# ---- files
+
+@query(f"{views.with_views('embedded')} SELECT x, y, z FROM embedded")
+def text_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cloud written as lines of an .xyz file in the shared folder, and read back."""
+    path = f"{shared_dir(spark)}/cairn-{spark.sparkContext.applicationId}/text_cloud.xyz"
+    lines = views.embedded(spark, sf_dir).select(F.concat_ws(" ", "x", "y", "z").alias("value"))
+    lines.write.mode("overwrite").text(path)
+    return text.read_text_cloud(spark, path).select("x", "y", "z")
+
+
+_REPORT = ("structural_planes array<struct<plane_id:int,label:string,inlier_count:bigint,centroid_z:double>>, "
+           "objects array<struct<cluster_id:int,label:string,confidence:double,n_points:bigint,z_min:double>>")
 
 
-@query()
+@query(f"{views.with_views('room', 'objects')}, layers AS (SELECT round(z / {LAYER}::DOUBLE)::INTEGER AS plane_id, count(*) AS inlier_count, median(z) AS centroid_z FROM room GROUP BY 1), "
+       f"named AS ({_labels_sql('objects')}) SELECT 'plane' AS kind, row_number() OVER (ORDER BY plane_id)::INTEGER - 1 AS place, plane_id AS id, "
+       f"{_plane_sql('0.0::DOUBLE', '0.0::DOUBLE', '1.0::DOUBLE', 'centroid_z', f'{HEIGHT}::DOUBLE')} AS label, inlier_count AS n, {_round('centroid_z')} AS z, NULL::DOUBLE AS confidence FROM layers "
+       "UNION ALL SELECT 'object', row_number() OVER (ORDER BY n_points DESC, cluster_id)::INTEGER - 1, cluster_id::INTEGER, label, n_points, "
+       f"{_round('z_min')}, confidence FROM objects JOIN named USING (cluster_id) WHERE n_points >= 8")
 def segmentation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON report of a labelled room."""
+    """What the JSON report of a labelled room says, read back from it."""
     flat = summaries.plane_summary(_layers(spark, sf_dir)).withColumns({"normal": vector(F.lit(0.0), F.lit(0.0), F.lit(1.0))})
     planes = labels.label_planes(flat.withColumn("plane_model", vector(F.lit(0.0), F.lit(0.0), F.lit(1.0), -F.col("centroid_z"))), HEIGHT)
     found = summaries.large_enough(views.objects(spark, sf_dir), 8).withColumn("cluster_id", F.col("cluster_id").cast("int"))
     none = {"obb_extent": F.lit(None).cast("array<double>"), "obb_rotation_deg": F.lit(None).cast("double")}
-    return writers.segmentation_report(planes, labels.label_clusters(found).withColumns(none))
+    told = writers.segmentation_report(planes, labels.label_clusters(found).withColumns(none)).select(F.from_json("report", _REPORT).alias("r"))
+    rows = lambda c: told.select(F.posexplode(f"r.{c}").alias("place", "row")).select("place", "row.*")
+    first = rows("structural_planes").select(F.lit("plane").alias("kind"), "place", F.col("plane_id").alias("id"), "label", F.col("inlier_count").alias("n"),
+                                             near("centroid_z").alias("z"), F.lit(None).cast("double").alias("confidence"))
+    second = rows("objects").select(F.lit("object"), "place", "cluster_id", "label", "n_points", near("z_min"), "confidence")
+    return first.union(second)
