@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.spans import running_sums
+
 HEAD, PART, END = "###", "<part>", "</turn>"
 LEARNT = "assistant"
 
@@ -36,15 +38,19 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """One row per conversation: ``conv_id, formatted, loss_spans``.
 
     Turns are in order of (turn, role, text), nulls first; null roles and texts count
-    as empty; repeated rows are turns of their own; rows without conv_id are one
-    conversation; a conversation without rows has no result.  ``loss_spans`` are
-    (start, end) code points in ``formatted``, end exclusive, one for each text of the
-    learnt role (its escaped form), in order.
+    as empty; repeated rows are turns of their own; a row without conv_id is a
+    conversation by itself; a table without rows has no result; other columns are not
+    read.  ``loss_spans`` are (start, end) code points in ``formatted``, end exclusive,
+    one for each text of the learnt role (its escaped form), in order.
+
+    A conversation is one value, so one task holds it: that bounds one to the 2 GB of a
+    Spark string, however many there are.
     """
     row = F.struct(
         F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    df = turns.select(F.col(conv_col).alias("conv_id"), row.alias("t")).groupBy("conv_id").agg(F.collect_list("t").alias("t"))
+    alone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
+    df = turns.select(F.col(conv_col).alias("conv_id"), alone.alias("alone"), row.alias("t")).groupBy("conv_id", "alone").agg(F.collect_list("t").alias("t"))
     df = df.withColumn("t", F.sort_array("t"))
     first = F.filter(F.transform("t", lambda t, i: F.when((i > 0) & (F.get("t", i - 1)["role"] == t["role"]), F.lit(None)).otherwise(i)),
                      lambda i: i.isNotNull())
@@ -61,19 +67,12 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             (t["role"] == LEARNT).alias("learnt")))
 
     df = df.withColumn("pieces", F.flatten(F.transform(runs, pieces)))
-    span = "array<struct<start:int,end:int>>"
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["before"])
-        end = start + F.length(p["text"])
-        mine = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct((end + F.length(p["after"])).alias("at"),
-                        F.when(p["learnt"], F.concat(acc["spans"], mine)).otherwise(acc["spans"]).alias("spans"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans"))
+    df = df.withColumn("steps", F.transform("pieces", lambda p: F.length(p["before"]) + F.length(p["text"]) + F.length(p["after"])))
+    spans = F.zip_with(running_sums("steps"), "pieces", lambda end, p: F.struct(
+        (end - F.length(p["after"]) - F.length(p["text"])).alias("start"), (end - F.length(p["after"])).alias("end"), p["learnt"].alias("learnt")))
+    learnt = F.transform(F.filter(spans, lambda s: s["learnt"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return df.select(
-        "conv_id", F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), "").alias("formatted"),
-        F.aggregate("pieces", zero, step)["spans"].alias("loss_spans"))
+        "conv_id", F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), "").alias("formatted"), learnt.alias("loss_spans"))
 
 
 def parse(formatted: Column) -> Column:

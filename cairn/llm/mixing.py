@@ -35,7 +35,8 @@ class Mix:
     """Targets: sources by domain, weights by domain and by language, equal by source.
 
     ``share`` of all available tokens is the budget; ``epochs`` bounds the copies of a
-    document; what no rule names gets ``other_domain`` and ``other_weight``.
+    document; what no rule names gets ``other_domain`` and ``other_weight``.  A weight of
+    0 leaves a node out; weights are not negative, and finite.
     """
 
     domains: dict[str, tuple[str, ...]] = field(default_factory=lambda: {
@@ -48,6 +49,16 @@ class Mix:
     epochs: int = 2
     seed: int = 1
 
+    def __post_init__(self) -> None:
+        weights = [*self.domain_weights.values(), *self.lang_weights.values(), self.other_weight]
+        if not all(0 <= w < float("inf") for w in weights):
+            raise ValueError("weights must be finite and not negative")
+        if not 0 <= self.share < float("inf") or self.epochs < 0 or self.epochs != int(self.epochs):
+            raise ValueError("share and epochs must not be negative, epochs whole")
+        named = [s for group in self.domains.values() for s in group]
+        if len(named) != len(set(named)):
+            raise ValueError("a source belongs to one domain")
+
 
 def _case(value: Column, table: dict[str, float], other: float) -> Column:
     out = F.lit(other)
@@ -74,28 +85,33 @@ def split_budget(children: DataFrame, parent: list[str]) -> DataFrame:
     """Add ``budget``: each parent's ``given`` split by ``weight`` under ``cap``.
 
     In order of cap / weight the first children are full as long as their cap is at
-    most their share of what is left; the others split the rest by weight.
+    most their share of what is left; the others split the rest by weight.  A child of
+    weight 0 must have cap 0.
     """
     mine = W.partitionBy(*parent) if parent else W.partitionBy(F.lit(0))
-    by_need = mine.orderBy(F.col("cap") / F.col("weight"), "name")
+    ratio = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(F.lit(0.0))
+    by_need = mine.orderBy(ratio(F.col("cap"), F.col("weight")), "name")
     before = F.coalesce(F.sum("cap").over(by_need.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rest = F.sum("weight").over(by_need.rowsBetween(0, W.unboundedFollowing))
-    df = children.withColumn("level", (F.col("given") - before) / rest)
+    df = children.withColumn("before", before).withColumn("rest", rest).withColumn("level", ratio(F.col("given") - F.col("before"), F.col("rest")))
     df = df.withColumn("full", F.col("cap") <= F.col("level") * F.col("weight"))
     level = F.max(F.when(~F.col("full"), F.col("level"))).over(mine)
-    return df.withColumn("budget", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(level * F.col("weight"))).drop("level", "full")
+    return df.withColumn("budget", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(level * F.col("weight"))).drop("level", "full", "before", "rest")
 
 
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """``leaves`` (domain, lang, source, tokens) with ``budget`` in whole tokens."""
-    cap = (F.col("tokens") * mix.epochs).alias("cap")
     total = leaves.agg(F.floor(F.sum("tokens") * F.lit(mix.share)).cast("double").alias("given"))
     weight = {"domain": lambda c: _case(c, mix.domain_weights, mix.other_weight),
               "lang": lambda c: _case(c, mix.lang_weights, mix.other_weight), "source": lambda c: F.lit(1.0)}
+    counts = F.lit(True)
+    for level in LEVELS:
+        counts = counts & (weight[level](F.col(level)) > 0)
+    usable = F.when(counts, F.col("tokens") * mix.epochs).otherwise(0)
     above: DataFrame | None = None
     for k, level in enumerate(LEVELS):
         keys, parent = list(LEVELS[: k + 1]), list(LEVELS[:k])
-        nodes = leaves.groupBy(*keys).agg(F.sum(F.col("tokens") * mix.epochs).alias("cap"))
+        nodes = leaves.groupBy(*keys).agg(F.sum(usable).alias("cap"))
         nodes = nodes.withColumn("name", F.col(level)).withColumn("weight", weight[level](F.col(level)))
         nodes = nodes.join(above, parent) if parent else nodes.crossJoin(F.broadcast(total))  # one row: the budget
         above = split_budget(nodes, parent).select(*keys, F.col("budget").alias("given"))

@@ -13,8 +13,7 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _rules() -> str:
-    base, policy = q.mask_of(q.BASE), q.mask_of(q.POLICIES[q.PRODUCTION])
+def _ledger() -> str:
     bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in q.RULES)
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
@@ -26,23 +25,40 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_upper,
   len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM t JOIN lines USING (rid) LEFT JOIN rep USING (rid)),
-b AS (SELECT *, ({bits})::BIGINT AS fail_bits FROM m)
+b AS (SELECT *, ({bits})::BIGINT AS fail_bits FROM m)"""
+
+
+def _rules() -> str:
+    base, policy = q.mask_of(q.BASE), q.mask_of(q.POLICIES[q.PRODUCTION])
+    sole = "CASE fail_bits & {0} ".format(policy) + " ".join(f"WHEN {1 << r.bit} THEN '{r.name}'" for r in q.RULES if r.name in q.POLICIES[q.PRODUCTION]) + " END"
+    return f"""{_ledger()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {base}) <> 0 AS base_failed,
-  (fail_bits & {base | policy}) = 0 AS kept, fail_bits FROM b"""
+  (fail_bits & {base | policy}) = 0 AS kept, fail_bits, '{q.PRODUCTION}' AS policy, {sole} AS sole_rule FROM b"""
+
+
+def _ablations() -> str:
+    parts = []
+    for policy, names in q.POLICIES.items():
+        mask = q.mask_of(names)
+        for r in (r for r in q.RULES if r.name in names):
+            bit = 1 << r.bit
+            parts.append(f"SELECT '{policy}' AS policy, '{r.name}' AS rule, count(*) AS n_failed, count(*) FILTER (WHERE fail_bits & {mask} = {bit}) AS n_regained, "
+                         f"bit_or(fail_bits & {mask & ~bit}) AS also_failed FROM b WHERE fail_bits & {bit} <> 0 HAVING count(*) > 0")
+    return f"{_ledger()}\n" + "\nUNION ALL ".join(parts)
 
 
 def _chat() -> str:
     escaped = r"replace(replace(replace(replace({0}, '\', '\\'), '###', '\#\#\#'), '<part>', '\<part\>'), '</turn>', '\</turn\>')"
     return rf"""
-WITH every AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
-placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM every),
-told AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY n) IS NOT DISTINCT FROM role AS merged FROM placed)
+WITH every AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS n FROM every),
+told AS (SELECT *, lag(role) OVER (PARTITION BY conv_id, alone ORDER BY n) IS NOT DISTINCT FROM role AS merged FROM placed)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
   length(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), ''))::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(length({escaped.format("text")}) + CASE WHEN merged THEN 6 ELSE 14 + length(replace({escaped.format("role")}, ':', '\:')) END)::BIGINT AS formatted_chars
-FROM told GROUP BY conv_id"""
+FROM told GROUP BY conv_id, alone"""
 
 
 def _case(column: str, table: dict, other: str) -> str:
@@ -100,16 +116,23 @@ def _secrets() -> str:
 
     first, rest = s.CLASSES
     runs = r"[0-9A-Za-z]{24,}"
-    allowed = " OR ".join(f"regexp_matches(m, '{p}')" for p in s.ALLOWED)
+
+    def allowed(string: str) -> str:
+        forms = [f"regexp_matches({string}, '{p.replace('*+', '*')}')" for p in s.ALLOWED]
+        return " OR ".join(forms + [f"contains('{a}', {string})" for a in s.IN_ORDER])
+
     windows = []
     for cls, name in ((first, "hexes"), (rest, "wide")):
         w = cls.window
         only = "AND regexp_full_match(m, '[0-9A-Fa-f]+')" if cls is first else ""
         windows.append(f"""
-{name}_c AS (SELECT rid, start, m FROM {name} WHERE NOT ({allowed}) {only}),
-{name}_w AS (SELECT rid, start + i - 1 AS pos, substr(m, i::BIGINT, {w}) AS w FROM {name}_c, unnest(range(1, length(m) - {w} + 2)) u(i)),
-{name}_h AS (SELECT rid, pos, w, substr(w, k::BIGINT, 1) AS c, count(*) AS n FROM {name}_w, range(1, {w + 1}) r(k) GROUP BY ALL),
-{name}_e AS (SELECT rid, pos, {w} AS width FROM {name}_h GROUP BY rid, pos, w HAVING {float(w)}::DOUBLE * log2({float(w)}::DOUBLE) - sum(n * log2(n)) >= {cls.floor * w}::DOUBLE)""")
+{name}_c AS (SELECT rid, start, m FROM {name} WHERE NOT ({allowed("m")}) {only}),
+{name}_w AS (SELECT rid, start, m, start + i - 1 AS pos, substr(m, i::BIGINT, {w}) AS w FROM {name}_c, unnest(range(1, length(m) - {w} + 2)) u(i)),
+{name}_h AS (SELECT rid, start, m, pos, w, substr(w, k::BIGINT, 1) AS c, count(*) AS n FROM {name}_w, range(1, {w + 1}) r(k) GROUP BY ALL),
+{name}_e AS (SELECT rid, start, m, pos FROM {name}_h GROUP BY rid, start, m, pos, w HAVING {float(w)}::DOUBLE * log2({float(w)}::DOUBLE) - sum(n * log2(n)) >= {cls.floor * w}::DOUBLE),
+{name}_p AS (SELECT DISTINCT rid, start, m, pos + k AS p FROM {name}_e, range(0, {w}) r(k)),
+{name}_r AS (SELECT rid, start, m, min(p) AS lo, max(p) + 1 AS hi FROM (SELECT *, p - row_number() OVER (PARTITION BY rid, start ORDER BY p) AS g FROM {name}_p) GROUP BY rid, start, m, g),
+{name}_k AS (SELECT rid, lo, hi FROM (SELECT *, substr(m, (lo - start + 1)::BIGINT, (hi - lo)::BIGINT) AS s FROM {name}_r) WHERE NOT ({allowed("s")}))""")
     told = "coalesce(string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, ord) FILTER (WHERE {0}), '')"
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -117,13 +140,13 @@ WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 {_matches("rid", "hexes", runs)}, {_matches("rid", "wide", rest.pattern)}, {", ".join(windows)},
 base AS (SELECT rid, start, finish, 0 AS ord, 'assign' AS kind FROM assigned WHERE length(regexp_extract(m, '{s.ASSIGN.replace("'", "''")}', 1)) >= 6
   UNION ALL SELECT rid, start, finish, 1, 'access' FROM access UNION ALL SELECT rid, start, finish, 2, 'hex' FROM hex),
-high AS (SELECT DISTINCT rid, pos + k AS p FROM (SELECT * FROM hexes_e UNION ALL SELECT * FROM wide_e) e, range(0, 24) r(k)),
+high AS (SELECT DISTINCT rid, p FROM (SELECT * FROM hexes_k UNION ALL SELECT * FROM wide_k) e, unnest(range(lo::BIGINT, hi::BIGINT)) r(p)),
 island AS (SELECT rid, p, p - row_number() OVER (PARTITION BY rid ORDER BY p) AS g FROM high),
 run AS (SELECT rid, min(p) AS start, max(p) + 1 AS finish FROM island GROUP BY rid, g),
 every AS (SELECT * FROM base UNION ALL SELECT rid, start, finish, 3, 'entropy' FROM run r
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.start < r.finish AND r.start < b.finish))
 SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
-  sha256({told.format("ord < 3")}) AS base_sha256, {told.format("ord IS NOT NULL")} AS spans
+  sha256({told.format("ord < 3")}) AS base_sha256, {told.format("ord IS NOT NULL")} AS spans, count(kind) AS n_spans
 FROM t LEFT JOIN every USING (rid) GROUP BY rid, doc_id"""
 
 
@@ -132,5 +155,6 @@ ORACLE_SQL = {
     "op3_source_mixing": _mixing(Mix()),
     "op4_ngram_jaccard_join": _jaccard(),
     "op7_quality_rules": _rules(),
+    "quality_ablations": _ablations(),
     "op10_chat_formatting": _chat(),
 }

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.names import prefix
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 5
@@ -30,7 +32,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 10"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     Rule(2, "symbol_heavy", "100 * n_symbols > 25 * n_words"),
-    Rule(3, "repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
+    Rule(3, "repeated_lines", "100 * n_dup_lines > 40 * n_lines"),
     Rule(4, "short_words", "word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 15 * n_words"),
     Rule(6, "shouting", "100 * n_upper > 60 * word_chars"),
@@ -54,40 +56,41 @@ def _less(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def _repeat_words(df: DataFrame) -> DataFrame:
-    """Words in windows of WINDOW words that the text holds twice or more."""
-    size = F.size("__w")
+def _repeat_words(df: DataFrame, p: str) -> DataFrame:
+    """Words in windows of WINDOW words that the text holds twice or more; words are in column ``<p>w``."""
+    w, h, s, at = (f"{p}{n}" for n in "whsa")
+    size = F.size(w)
     hashes = F.when(size > WINDOW, F.transform(
-        F.sequence(F.lit(0), size - WINDOW), lambda i: F.xxhash64(*[F.get("__w", i + k) for k in range(WINDOW)])))
-    df = df.withColumn("__h", hashes)
-    again = F.size(F.array_distinct("__h")) < F.size("__h")
-    df = df.withColumn("__s", F.when(again, F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    twice = F.transform("__s", lambda x, k: F.when(
-        (F.get("__s", k - 1)["h"] == x["h"]) | (F.get("__s", k + 1)["h"] == x["h"]), x["i"]))
-    df = df.withColumn("__at", F.sort_array(F.filter(twice, lambda i: i.isNotNull())))
-    steps = F.zip_with(F.slice("__at", F.lit(2), F.size("__at") - 1), F.slice("__at", F.lit(1), F.size("__at") - 1),
-                       lambda b, a: F.least(b - a, F.lit(WINDOW)))
+        F.sequence(F.lit(0), size - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
+    df = df.withColumn(h, hashes)
+    again = F.size(F.array_distinct(h)) < F.size(h)
+    df = df.withColumn(s, F.when(again, F.sort_array(F.transform(h, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    twice = F.transform(s, lambda x, k: F.when((F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]), x["i"]))
+    df = df.withColumn(at, F.sort_array(F.filter(twice, lambda i: i.isNotNull())))
+    steps = F.zip_with(F.slice(at, F.lit(2), F.size(at) - 1), F.slice(at, F.lit(1), F.size(at) - 1), lambda b, a: F.least(b - a, F.lit(WINDOW)))
     covered = F.aggregate(steps, F.lit(WINDOW), lambda a, b: a + b)
-    return df.withColumn("n_repeat_words", F.when(F.size("__at") > 0, covered).otherwise(0).cast("long")).drop("__h", "__s", "__at")
+    return df.withColumn("n_repeat_words", F.when(F.size(at) > 0, covered).otherwise(0).cast("long")).drop(h, s, at)
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the measurements that the rules read (they replace columns so named).
+    """``docs`` with the measurements that the rules read (they replace columns so named, no others).
 
     A null text counts as one without words; all of its measurements are 0.
     """
-    df = docs.withColumn("__t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = df.withColumn("__w", F.regexp_extract_all("__t", F.lit(WORD), F.lit(0)))
-    df = df.withColumn("__l", F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(WORD)))
+    p = prefix(docs)
+    t, w, lines = f"{p}t", f"{p}w", f"{p}l"
+    df = docs.withColumn(t, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    df = df.withColumn(w, F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
+    df = df.withColumn(lines, F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)))
     df = (
-        df.withColumn("n_words", F.size("__w").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long"))
-        .withColumn("n_symbols", _less(F.col("__t"), r"[#*$%&|<>]"))
-        .withColumn("n_upper", _less(F.col("__t"), r"[A-Z]"))
-        .withColumn("n_lines", F.size("__l").cast("long"))
-        .withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
+        df.withColumn("n_words", F.size(w).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join(w, "")).cast("long"))
+        .withColumn("n_symbols", _less(F.col(t), r"[#*$%&|<>]"))
+        .withColumn("n_upper", _less(F.col(t), r"[A-Z]"))
+        .withColumn("n_lines", F.size(lines).cast("long"))
+        .withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
     )
-    return _repeat_words(df).drop("__t", "__w", "__l")
+    return _repeat_words(df, p).drop(t, w, lines)
 
 
 def ledger(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -106,26 +109,37 @@ def passes(policy: str) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask_of(POLICIES[policy])).cast("long")) == 0
 
 
-def ablation(book: DataFrame, policy: str = PRODUCTION) -> DataFrame:
-    """Per rule of a policy: documents that fail it, and that only it rejects.
+def ablation(book: DataFrame, policies: tuple[str, ...] = (PRODUCTION,)) -> DataFrame:
+    """Per policy and rule of it: documents that fail it, and that only it rejects.
 
     ``n_failed`` counts rows with the rule's bit; ``n_regained`` those that the policy
-    without the rule would keep; ``also_failed`` is the union of the other bits seen
-    with it.  The ledger is first counted by mask, so what is exploded is bounded.
+    without the rule would keep; ``also_failed`` is the union of the policy's other bits
+    seen with it.  A rule that nothing fails has no row.  The ledger is first counted by
+    its bits, at most 2^rules of them, so what is exploded is bounded.
     """
-    mask = mask_of(POLICIES[policy])
-    counted = book.select(F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long")).alias("bits")).groupBy("bits").agg(F.count("*").alias("n"))
-    rules = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("bit"))
-                      for r in RULES if r.name in POLICIES[policy]])
-    each = counted.withColumn("r", F.explode(rules)).where("bits & r.bit != 0")
-    return each.groupBy(F.col("r.rule").alias("rule")).agg(
+    rules = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(mask_of(POLICIES[p])).cast("long").alias("mask"), F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("bit"))
+                      for p in policies for r in RULES if r.name in POLICIES[p]])
+    counted = book.groupBy("fail_bits").agg(F.count("*").alias("n"))
+    each = counted.withColumn("r", F.explode(rules)).where("fail_bits & r.bit != 0").withColumn("bits", F.expr("fail_bits & r.mask"))
+    return each.groupBy(F.col("r.policy").alias("policy"), F.col("r.rule").alias("rule")).agg(
         F.sum("n").alias("n_failed"), F.sum(F.when(F.col("bits") == F.col("r.bit"), F.col("n")).otherwise(0)).alias("n_regained"),
         F.bit_or(F.expr("bits & ~r.bit")).alias("also_failed"))
 
 
+def sole_rule(policy: str) -> Column:
+    """The rule of a policy that alone rejects a ledger row, null if none or several do."""
+    bits = F.col("fail_bits").bitwiseAND(F.lit(mask_of(POLICIES[policy])).cast("long"))
+    out = F.lit(None).cast("string")
+    for r in RULES:
+        if r.name in POLICIES[policy]:
+            out = F.when(bits == 1 << r.bit, F.lit(r.name)).otherwise(out)
+    return out
+
+
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: str = PRODUCTION) -> DataFrame:
-    """Per row: id, measurements, ``fail_bits``, ``base_failed`` and the policy's ``kept``."""
+    """Per row: id, measurements, ``base_failed``, the policy's ``kept``, ``fail_bits``, the policy's
+    version, and the rule that alone rejects the row.  Rows are independent; an empty table gives none."""
     book = ledger(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"),
-        (passes("base") & passes(policy)).alias("kept"), "fail_bits")
+        (passes("base") & passes(policy)).alias("kept"), "fail_bits", F.lit(policy).alias("policy"), sole_rule(policy).alias("sole_rule"))

@@ -12,7 +12,7 @@ from cairn.llm.ngram_join import ngram_jaccard_join
 from cairn.llm.oracle import ORACLE_SQL  # noqa: F401
 from cairn.llm.packing import pack
 from cairn.llm.pii import pii_digest
-from cairn.llm.quality_rules import quality_verdicts
+from cairn.llm.quality_rules import POLICIES, ablation, ledger, quality_verdicts
 from cairn.llm.resampling import resample
 from cairn.llm.secrets import secret_digest
 from cairn.llm.sentence_spans import remove_repeated_spans
@@ -55,6 +55,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects alone, from the ledger's bits."""
+    return ablation(ledger(_table(spark, sf_dir, "documents")), tuple(POLICIES))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", "log_weight", "draw", "kept")
@@ -81,6 +86,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "quality_ablations": quality_ablations,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_chat_formatting": op10_chat_formatting,

@@ -31,5 +31,14 @@ def test_digest(spark):
     assert r.loss_sha256 == hashlib.sha256(b"bc").hexdigest()
 
 
+def test_rows_without_conversation_and_many_turns(spark):
+    many = [(5, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(3000)]
+    df = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), *many], "conv_id long, turn long, role string, text string")
+    rows = chat.chat_digest(df).collect()
+    assert sorted(r.n_turns for r in rows) == [1, 1, 1, 3000] and sorted(r.loss_chars for r in rows)[:3] == [0, 1, 1]
+    long = next(r for r in rows if r.n_turns == 3000)
+    assert long.loss_sha256 == hashlib.sha256("".join(f"t{k}" for k in range(1, 3000, 2)).encode()).hexdigest()
+
+
 def test_empty_table(spark):
     assert chat.chat_digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0

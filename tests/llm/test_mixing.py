@@ -67,3 +67,16 @@ def test_rows_as_read_and_empty_table(spark):
     out = mixing.mix_sources(df, mixing.Mix(share=2.0, epochs=2))
     assert out.columns == df.columns and out.count() == 4
     assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def test_weights(spark):
+    docs = [(i, "a b c", "en" if i % 2 else "de", f"src{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    none = mixing.Mix(domain_weights={"crawl": 0.0, "reference": 1.0}, lang_weights={"en": 1.0, "de": 0.0}, other_weight=0.0, share=0.2)
+    rows = mixing.mixed_documents(df, none).collect()
+    assert {(r.domain, r.lang) for r in rows} == {("reference", "en")} and 33 <= sum(r.n_tokens for r in rows) <= 36
+    all_out = mixing.Mix(domain_weights={}, lang_weights={}, other_weight=0.0)
+    assert mixing.mixed_documents(df, all_out).count() == 0
+    for wrong in ({"other_weight": -1.0}, {"domain_weights": {"web": float("nan")}}, {"share": -0.1}, {"epochs": -1}, {"domains": {"a": ("x",), "b": ("x",)}}):
+        with pytest.raises(ValueError):
+            mixing.Mix(**wrong)

@@ -40,4 +40,15 @@ def test_policies_and_ablation(spark):
     assert book.where(q.passes("base")).count() == 2 and book.where(q.passes("v2")).count() == 1
     found = {r.rule: (r.n_failed, r.n_regained) for r in q.ablation(book).collect()}
     assert found == {"few_words": (3, 3), "symbol_heavy": (1, 1)}
-    assert q.ablation(book.limit(0)).count() == 0
+    every = {(r.policy, r.rule): (r.n_failed, r.n_regained, r.also_failed) for r in q.ablation(book, tuple(q.POLICIES)).collect()}
+    assert every == {("base", "few_words"): (3, 3, 0), ("v1", "few_words"): (3, 3, 0), ("v2", "few_words"): (3, 3, 0), ("v1", "symbol_heavy"): (1, 1, 0), ("v2", "symbol_heavy"): (1, 1, 0)}
+    assert q.ablation(book.limit(0)).count() == 0 and q.quality_verdicts(df.limit(0)).count() == 0
+    alone = [(r.doc_id, r.kept, r.sole_rule) for r in q.quality_verdicts(df).collect()]
+    assert sorted(alone, key=str) == sorted([(1, False, "few_words"), (2, True, None), (3, False, "symbol_heavy"), (None, False, "few_words"), (1, False, "few_words")], key=str)
+
+
+def test_clashing_names(spark):
+    names = ["__t", "__w", "__l", "__h", "__s", "__a", "__m"]
+    df = spark.createDataFrame([(1, "a b", *range(len(names)))], ["doc_id", "text", *names])
+    row = q.ledger(df).first()
+    assert [row[n] for n in names] == list(range(len(names))) and row.n_words == 2
