@@ -39,6 +39,8 @@ class RadiusOutliers(_Checked):
 
 @dataclass(frozen=True)
 class NormalEstimation(_Checked):
+    """``orient_k`` is accepted and bears on nothing: normals are turned to a fixed sign."""
+
     radius: float = _ranged(0.1, over=0)
     max_nn: int = _ranged(30, over=0)
     orient_k: int = _ranged(15, over=0)
@@ -55,7 +57,7 @@ class Preprocessing(_Checked):
 @dataclass(frozen=True)
 class Ransac(_Checked):
     distance_threshold: float = _ranged(0.02, over=0)
-    ransac_n: int = _ranged(3, least=3, most=3)  # a plane through more than 3 samples is not supported
+    ransac_n: int = _ranged(3, least=3)
     num_iterations: int = _ranged(2000, over=0)
     min_plane_size: int = _ranged(1000, over=0)
     max_planes: int = _ranged(10, over=0)

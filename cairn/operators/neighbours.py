@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.functions.bounded import broadcast_if_small
+from cairn.functions.bounded import broadcast_if_small, small_table
 from cairn.functions.geometry import squared_distance
 from cairn.functions.lineage import settle, stash
 
@@ -67,7 +67,7 @@ def _first_radius(at: DataFrame, k: int) -> DataFrame:
     """
     span = F.greatest(*[F.max(c) - F.min(c) for c in "xyz"], F.lit(1e-9))
     scenes = at.groupBy("scene_id").agg(F.count("*").alias("n"), span.alias("extent"), *[F.min(c).alias(f"{c}0") for c in "xyz"])
-    scenes = broadcast_if_small(stash(scenes))
+    scenes = small_table(scenes)
     width = lambda h: F.col("extent") / F.lit(float(1 << h))
     cell = lambda h: F.xxhash64(*[F.floor((F.col(c) - F.col(f"{c}0")) / width(h)) for c in "xyz"])
     used = at.join(scenes, "scene_id").groupBy("scene_id", "n", "extent").agg(*[F.approx_count_distinct(cell(h)).alias(f"u{h}") for h in range(1, HALVINGS + 1)])
@@ -83,23 +83,25 @@ def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
     The radius starts from how dense the scene's points lie, and grows for the points that
     have not found k neighbours within it; a point whose scene has fewer gets all there
     are.  Rows that share an id are one point at several places: none is a neighbour of
-    the others, and as a neighbour it is met at each of them.
+    the others, and the distance between two points is the least between their places.
     """
     return settle(points.sparkSession, lambda: _nearest(points, k))
 
 
 def _nearest(points: DataFrame, k: int) -> DataFrame:
     at = stash(points.select(*POINT_KEY, "x", "y", "z"))
-    scenes = broadcast_if_small(stash(_first_radius(at, k)))
-    same = at.groupBy(*POINT_KEY).agg(F.count("*").alias("same"))
-    at = stash(at.join(scenes, "scene_id").join(same, list(POINT_KEY)).select(
-        *POINT_KEY, "x", "y", "z", "radius", F.least(F.col("n") - F.col("same"), F.lit(k)).alias("want")))
+    ids = at.groupBy(*POINT_KEY).agg(F.count("*").alias("rows")).groupBy("scene_id").agg((F.count("*") - 1).alias("others"), F.max("rows").alias("rows"))
+    scenes = stash(_first_radius(at, k).join(ids, "scene_id"))
+    repeated = not scenes.where("rows > 1").isEmpty()
+    scenes = scenes.select("scene_id", "radius", F.least("others", F.lit(k)).alias("want"))
+    at = stash(at.join(broadcast_if_small(scenes), "scene_id"))
     left, done, factor = at.where("want > 0"), [], 1.0
     by_distance = W.partitionBy(*POINT_KEY).orderBy("d2", "nbr_id")
     while True:
-        radius = F.col("radius") * F.lit(factor)
-        met = _near(left, at, radius).where("nbr_id != point_id").withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
-        met = stash(met.select(*POINT_KEY, "nbr_id", "d2", "rank", "want"))
+        met = _near(left, at, F.col("radius") * F.lit(factor)).where("nbr_id != point_id").select(*POINT_KEY, "nbr_id", "d2", "want")
+        if repeated:
+            met = met.groupBy(*POINT_KEY, "nbr_id", "want").agg(F.min("d2").alias("d2"))
+        met = stash(met.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k).select(*POINT_KEY, "nbr_id", "d2", "rank", "want"))
         full = met.where("rank = want").select(*POINT_KEY)
         done.append(met.join(full, list(POINT_KEY), "left_semi").drop("want"))
         left = stash(left.join(full, list(POINT_KEY), "left_anti"))

@@ -12,6 +12,7 @@ from cairn.functions.geometry import canonical_sign, cross, plane_distance, vect
 from cairn.functions.lineage import stash
 from cairn.operators.dbscan import largest_component
 from cairn.operators.neighbours import POINT_KEY
+from cairn.operators.normals import AXES, covariances, eigen
 from cairn.operators.summaries import plane_summary
 
 #: Modulus and multiplier of the sampling order (whole numbers, portable to any SQL engine);
@@ -26,42 +27,45 @@ def sample_order(seed: int | Column) -> Column:
     return (h * h + point) % MODULUS
 
 
-def hypotheses(points: DataFrame, iterations: int, seed: int = 0) -> DataFrame:
-    """(scene_id, hypothesis, model): planes through consecutive triples of the sampling order.
+def hypotheses(points: DataFrame, iterations: int, seed: int = 0, samples: int = 3) -> DataFrame:
+    """(scene_id, hypothesis, model): planes through consecutive groups of ``samples`` points of the sampling order.
 
-    Only the first 3 * iterations points of each scene are ranked (a group limit before
-    the shuffle).  A scene of fewer points is ordered again, each time with another seed,
-    until it has as many triples.  Collinear triples are left out.
+    Only the first samples * iterations points of each scene are ranked (a group limit
+    before the shuffle).  A scene of fewer points is ordered again, each time with another
+    seed, until it has as many groups.  Collinear groups are left out.  More than three
+    points have the plane of least squares.
     """
-    sizes = small_table(points.groupBy("scene_id").agg(F.floor(F.count("*") / 3).cast("int").alias("triples")).where("triples > 0"))
-    turns = F.least(F.ceil(F.lit(iterations) / F.col("triples")).cast("int"), F.lit(iterations))
+    sizes = small_table(points.groupBy("scene_id").agg(F.floor(F.count("*") / samples).cast("int").alias("groups")).where("groups > 0"))
+    turns = F.least(F.ceil(F.lit(iterations) / F.col("groups")).cast("int"), F.lit(iterations))
     dealt = points.select(*POINT_KEY, "x", "y", "z").join(sizes, "scene_id").withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1)))
     order = W.partitionBy("scene_id", "turn").orderBy(sample_order(F.lit(seed) + F.col("turn") * AGAIN), "point_id")
-    drawn = dealt.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= 3 * iterations).where("rn <= 3 * triples")
-    drawn = drawn.withColumn("hypothesis", F.col("turn") * F.col("triples") + F.floor((F.col("rn") - 1) / 3).cast("int")).where(F.col("hypothesis") < iterations)
-    at = ((F.col("rn") - 1) % 3).alias("at")
-    triple = drawn.groupBy("scene_id", "hypothesis").agg(
-        F.count("*").alias("n"), *[F.max(F.when(at == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in "xyz"]).where("n = 3")
-    p, q, r = ([F.col(f"{c}{k}") for c in "xyz"] for k in range(3))
-    n = cross([b - a for a, b in zip(p, q)], [b - a for a, b in zip(p, r)])
-    named = triple.withColumns({f"n{k}": c for k, c in enumerate(n)})
-    raw = [F.col("n0"), F.col("n1"), F.col("n2")]
-    size = F.sqrt(raw[0] * raw[0] + raw[1] * raw[1] + raw[2] * raw[2])
-    named = named.withColumn("size", size).where("size >= 1e-9")
-    named = named.withColumns({f"u{k}": c / F.col("size") for k, c in enumerate(raw)})
+    drawn = dealt.withColumn("rn", F.row_number().over(order) - 1).where(F.col("rn") < samples * iterations).where(F.col("rn") < samples * F.col("groups"))
+    drawn = drawn.withColumn("hypothesis", F.col("turn") * F.col("groups") + F.floor(F.col("rn") / samples).cast("int")).where(F.col("hypothesis") < iterations)
+    group = drawn.groupBy("scene_id", "hypothesis")
+    if samples == 3:
+        corners = group.agg(*[F.max(F.when(F.col("rn") % 3 == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in "xyz"])
+        p, q, r = ([F.col(f"{c}{k}") for c in "xyz"] for k in range(3))
+        named = corners.withColumns({f"n{k}": c for k, c in enumerate(cross([b - a for a, b in zip(p, q)], [b - a for a, b in zip(p, r)]))})
+        raw = [F.col("n0"), F.col("n1"), F.col("n2")]
+        named = named.withColumn("size", F.sqrt(raw[0] * raw[0] + raw[1] * raw[1] + raw[2] * raw[2])).where("size >= 1e-9")
+        named = named.withColumns({f"u{k}": c / F.col("size") for k, c in enumerate(raw)})
+    else:
+        fitted = group.agg(*[F.avg(c).alias(f"{c}0") for c in "xyz"], *covariances()).withColumn("e", eigen(*AXES))
+        p = [F.col(f"{c}0") for c in "xyz"]
+        named = fitted.where(F.col("e.values")[1] > 1e-12 * F.col("e.values")[2]).withColumns({f"u{k}": F.col("e.vectors")[k] for k in range(3)})
     sign = canonical_sign([F.col("u0"), F.col("u1"), F.col("u2")])
     named = named.withColumns({f"w{k}": sign * F.col(f"u{k}") for k in range(3)})
     d = -(F.col("w0") * p[0] + F.col("w1") * p[1] + F.col("w2") * p[2])
     return named.select("scene_id", "hypothesis", vector("w0", "w1", "w2", d).alias("model"))
 
 
-def best_planes(points: DataFrame, distance: float, iterations: int, seed: int = 0) -> DataFrame:
+def best_planes(points: DataFrame, distance: float, iterations: int, seed: int = 0, samples: int = 3) -> DataFrame:
     """(scene_id, hypothesis, model, n_inliers): the plane with most points within ``distance``.
 
     Equal counts go to the smaller hypothesis.  Scoring joins points with their scene's
     planes, at most ``iterations`` of them, and counts on the map side.
     """
-    planes = small_table(hypotheses(points, iterations, seed))
+    planes = small_table(hypotheses(points, iterations, seed, samples))
     hit = points.select("scene_id", "x", "y", "z").join(planes, "scene_id").where(plane_distance(F.col("model")) <= F.lit(float(distance)))
     score = hit.groupBy("scene_id", "hypothesis").agg(F.count("*").alias("n_inliers"), F.first("model").alias("model"))
     first = F.struct(-F.col("n_inliers"), F.col("hypothesis"))
@@ -87,8 +91,8 @@ def take_rest(points: DataFrame, index: DataFrame) -> DataFrame:
 def extract_planes(points: DataFrame, config: Ransac | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Plane after plane from each scene: (planes, members, residual).
 
-    A round in every scene that is still going: stop at fewer than max(remaining, 3)
-    points; fit; stop if the plane has fewer than ``min_plane_size`` inliers; take *all*
+    A round in every scene that is still going: stop at fewer than max(remaining,
+    ransac_n) points; fit; stop if the plane has fewer than ``min_plane_size`` inliers; take *all*
     inliers off the residual.  After the rounds, the largest component of each plane's
     inliers is kept, of all planes in one clustering; ``planes`` also counts what that
     drops (``n_dropped``).  The driver learns one number a round: whether any scene goes on.
@@ -96,12 +100,12 @@ def extract_planes(points: DataFrame, config: Ransac | None = None) -> tuple[Dat
     config = config or Ransac()
     residual = stash(points)
     going = residual.select("scene_id").distinct()
-    least = max(config.remaining_points_min, 3)
+    least = max(config.remaining_points_min, config.ransac_n)
     planes, inlying = [], []
     for k in range(config.max_planes):
         sizes = residual.join(going, "scene_id", "left_semi").groupBy("scene_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
         active = residual.join(small_table(sizes.select("scene_id")), "scene_id", "left_semi")
-        best = best_planes(active, config.distance_threshold, config.num_iterations, config.seed + k)
+        best = best_planes(active, config.distance_threshold, config.num_iterations, config.seed + k, config.ransac_n)
         best = stash(best.where(F.col("n_inliers") >= config.min_plane_size))
         if best.isEmpty():
             break

@@ -13,6 +13,7 @@ from cairn.operators.neighbours import nearest_neighbours
 from cairn.operators.outliers import statistical_outliers
 from cairn.operators.ransac import best_planes, hypotheses
 from cairn.sources.binary import FILE_IDS, parse_pcd, read_binary_cloud, unpacked
+from cairn.sources.text import read_annotated_room, read_text_cloud
 
 
 def cloud(spark, xyz, ids=None):
@@ -53,6 +54,45 @@ def test_large_ids_and_small_scenes_get_all_hypotheses(spark):
     assert best_planes(far, 0.01, 100).first().n_inliers == 40
 
 
+def test_planes_through_more_points(spark):
+    rng = np.random.default_rng(1)
+    flat = np.c_[rng.random((300, 2)), 1 + rng.normal(0, 0.002, 300)]
+    best = best_planes(cloud(spark, np.r_[flat, rng.random((40, 3))]), 0.02, 200, samples=5).first()
+    assert best.n_inliers >= 300 and abs(best.model[2]) > 0.99
+    line = cloud(spark, [(k, 2 * k, 3 * k) for k in range(12)])
+    assert hypotheses(line, 5, samples=4).count() == 0
+
+
+def test_ids_of_text_files_follow_names_and_lines(spark, tmp_path):
+    (tmp_path / "Annotations").mkdir()
+    for name, rows in (("b_1", 3), ("a_2", 2), ("c_1", 4)):
+        (tmp_path / "Annotations" / f"{name}.txt").write_text("".join(f"{ord(name[0])} {k} 0 1 2 3\n" for k in range(rows)))
+    got = [(r.point_id, r.x, r.y) for r in read_annotated_room(spark, str(tmp_path)).orderBy("point_id").collect()]
+    assert got == [(i, float(x), float(y)) for i, (x, y) in enumerate([(97, 0), (97, 1), (98, 0), (98, 1), (98, 2), (99, 0), (99, 1), (99, 2), (99, 3)])]
+    (tmp_path / "t.xyz").write_text("".join(f"{k} 0 0\n" for k in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        df = read_text_cloud(spark, f"{tmp_path}/t.xyz", dense=True)
+        assert df.rdd.getNumPartitions() > 1 and df.where("point_id = x").count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from cairn.__main__ import main
+
+    main(["generate", "--output", f"{tmp_path}/room.ply", "--density", "50"])
+    (tmp_path / "c.yaml").write_text(f"output: {{ply: {tmp_path}/o.ply, report: {tmp_path}/r.json, topdown: {tmp_path}/map}}\n"
+                                     "preprocessing: {voxel_size: 0.3}\nransac: {min_plane_size: 50, num_iterations: 50, max_planes: 2}\n")
+    main(["segment", "--input", f"{tmp_path}/room.ply", "--config", f"{tmp_path}/c.yaml", "--no-topdown"])
+    assert (tmp_path / "r.json").exists()
+    (tmp_path / "t.json").write_text('{"structural_planes": [{"label": "floor"}, {"label": "wall"}], "objects": [{"label": "furniture"}]}')
+    main(["evaluate", "--predicted", f"{tmp_path}/t.json", "--truth", f"{tmp_path}/t.json"])
+    told = capsys.readouterr().out
+    assert " planes, " in told and "accuracy 1.0000" in told and "furniture" in told
+
+
 def lzf(data):
     """Literals, and one copy of a run of zeros."""
     out, at = b"", 0
