@@ -8,6 +8,7 @@ megabytes, and give back what allocators hold when a task ends.
 from __future__ import annotations
 
 import ctypes
+import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -22,17 +23,32 @@ MOST_ROWS, MOST_BYTES = 2000, 4 << 20
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+_lock = threading.Lock()
+_inside: dict[int, tuple[int, dict[str, str]]] = {}
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int = MOST_ROWS, size: int = MOST_BYTES) -> Iterator[None]:
-    """Jobs started inside send workers at most so much at a time; the session's own bounds come back after."""
-    before = {k: spark.conf.get(k) for k in (ROWS, BYTES)}
-    spark.conf.set(ROWS, str(min(rows, int(before[ROWS])) if int(before[ROWS]) > 0 else rows))
-    spark.conf.set(BYTES, str(size))
+    """Jobs started inside send workers at most so much at a time; after the last of a
+    session's threads has left, the session's own bounds come back."""
+    with _lock:
+        depth, before = _inside.get(id(spark), (0, {}))
+        if not depth:
+            before = {k: spark.conf.get(k) for k in (ROWS, BYTES)}
+            own = int(before[ROWS])
+            spark.conf.set(ROWS, str(min(rows, own) if own > 0 else rows))
+            spark.conf.set(BYTES, str(size))
+        _inside[id(spark)] = depth + 1, before
     try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        with _lock:
+            depth, before = _inside.pop(id(spark))
+            if depth > 1:
+                _inside[id(spark)] = depth - 1, before
+            else:
+                for k, v in before.items():
+                    spark.conf.set(k, v)
 
 
 def give_back() -> None:
