@@ -67,9 +67,10 @@ def best_planes(points: DataFrame, distance: float, iterations: int, seed: int =
     """
     planes = small_table(hypotheses(points, iterations, seed, samples))
     hit = points.select("scene_id", "x", "y", "z").join(planes, "scene_id").where(plane_distance(F.col("model")) <= F.lit(float(distance)))
-    score = hit.groupBy("scene_id", "hypothesis").agg(F.count("*").alias("n_inliers"), F.first("model").alias("model"))
-    first = F.struct(-F.col("n_inliers"), F.col("hypothesis"))
-    return score.groupBy("scene_id").agg(F.min_by(F.struct("hypothesis", "model", "n_inliers"), first).alias("best")).select("scene_id", "best.*")
+    score = hit.groupBy("scene_id", "hypothesis").agg(F.count("*").alias("n_inliers"))  # a hash aggregate: models are joined after
+    best = score.groupBy("scene_id").agg(F.min(F.struct((-F.col("n_inliers")).alias("less"), "hypothesis")).alias("best"))
+    best = best.select("scene_id", "best.hypothesis", (-F.col("best.less")).alias("n_inliers"))
+    return best.join(planes, ["scene_id", "hypothesis"]).select("scene_id", "hypothesis", "model", "n_inliers")
 
 
 def inliers(points: DataFrame, planes: DataFrame, distance: float) -> DataFrame:
