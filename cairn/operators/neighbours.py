@@ -50,9 +50,36 @@ def radius_count(points: DataFrame, radius: float) -> DataFrame:
 
 
 def hybrid_neighbours(points: DataFrame, radius: float, most: int) -> DataFrame:
-    """The ``most`` nearest within ``radius``, the point itself included (rank from 1)."""
+    """The ``most`` nearest within ``radius``, the point itself included (rank from 1).
+
+    Where points lie dense, the search starts from a smaller radius and grows up to
+    ``radius`` for the points that have not found ``most`` within it, so that its work is
+    by the neighbours asked for and not by all that lie within ``radius``.
+    """
+    return settle(points.sparkSession, lambda: _hybrid(points, radius, most))
+
+
+def _hybrid(points: DataFrame, radius: float, most: int) -> DataFrame:
+    at = stash(points.select(*POINT_KEY, "x", "y", "z"))
+    limit = F.lit(float(radius))
+    scenes = stash(_first_radius(at, most).select("scene_id", F.least("radius", limit).alias("radius")))
+    at = stash(at.join(broadcast_if_small(scenes), "scene_id"))
+    left, done, factor = at, [], 1.0
     by_distance = W.partitionBy(*POINT_KEY).orderBy("d2", F.col("nbr_id") != F.col("point_id"), "nbr_id")
-    return radius_pairs(points, radius).withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= most)
+    while True:
+        within = F.least(F.col("radius") * F.lit(factor), limit)
+        met = _near(left, at, within).withColumn("last", within >= limit).select(*POINT_KEY, "nbr_id", "d2", "last")
+        met = stash(met.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= most))
+        full = met.where(F.col("rank") == most).select(*POINT_KEY)
+        done.append(met.where("last").unionByName(met.where("not last").join(full, list(POINT_KEY), "left_semi")).drop("last"))
+        left = stash(left.where(within < limit).join(full, list(POINT_KEY), "left_anti"))
+        if left.isEmpty():
+            break
+        factor = 2 if factor == 1 else factor**2  # few are left now; any limit is reached in a few rounds
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 #: Halvings of a scene's extent among which its first radius is found.

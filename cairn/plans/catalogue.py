@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cairn.config import Dbscan, Labeling, Ransac, RegionGrowing
 from cairn.functions.colours import LABEL_COLOURS, MAP_COLOURS, colorize
 from cairn.functions.geometry import plane_distance, vector
-from cairn.functions.lineage import shared_dir
+from cairn.functions.lineage import shared_dir, stash
 from cairn.operators import dbscan as density
 from cairn.operators import evaluate as scores
 from cairn.operators import labels, neighbours, normals, objects, outliers, ransac, region_growing, stats, summaries, voxel
@@ -527,9 +527,10 @@ _BENT = f"{_NORMALS}, {geo.nearest(_GROWING.k_neighbours - 1)}, {geo.curvature('
        f"SELECT region_id, count(*) AS n_points, {_round('median(z)')} AS centroid_z, "
        + ", ".join(f"{_round(f'max({c}) - min({c})')} AS {d}" for c, d in zip("xyz", _DIMS)) + " FROM filled JOIN embedded USING (point_id) GROUP BY region_id")
 def region_growing_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cloud = _with_normals(spark, sf_dir)
+    cloud = stash(_with_normals(spark, sf_dir))
     grown = region_growing.grow_regions(cloud, _GROWING).where("region_id >= 0")
-    found = summaries.region_summary(cloud.join(grown, ["scene_id", "point_id"]))
+    members = stash(cloud.join(grown, ["scene_id", "point_id"]))  # read by every round of the summary's median
+    found = summaries.region_summary(members)
     return found.select("region_id", "n_points", near("centroid_z").alias("centroid_z"), *_flat("dims", _DIMS, 6))
 
 
